@@ -37,7 +37,7 @@ q - ԛ   s - ѕ   v ν ѵ   w - ԝ   x - х   y - у
 # Hyphens that look like the ASCII one.
 HYPHENS = "‐‑⁃﹣－"
 # Line breaks other than the line feed.
-BREAKS = "\r\n|[\r\x0b\x0c\x85  ]"
+BREAKS = "\r\n|[\r\x0b\x0c\x85\u2028\u2029]"
 
 # Look-alikes that hardly any text in their script needs.
 RARE = "ѵѴѕЅӏԛԚԝԜԁһҮјЈϲϳ"
@@ -58,7 +58,7 @@ _RARE = re.compile(f"[{RARE}]")
 _OTHER_SCRIPT = re.compile("[Ͱ-ϿЀ-ԯἀ-῿]")
 #: Characters whose text is in its final form already (no look-alikes, no marks to compose).
 _SAFE = re.compile(
-    "[\n -~¡-¬®-ɏ‒-‟、-〃ぁ-ゖァ-ヺー一-鿿]*"
+    "[\n -~¡-¬®-ıĴ-ǃǍ-ǰǴ-ɏ‒-‟、-〃ぁ-ゖァ-ヺー一-鿿]*"
 )
 _JOINING = "؀-ࣿऀ-෿຀-႟ក-៿᠀-᢯☀-➿ﭐ-﷿ﹰ-﻿\U0001f000-\U0001faff"
 #: Joiners count as invisible unless they shape the letters (or pictures) on both sides.
@@ -92,12 +92,6 @@ def _folded(code: int) -> str | None:
 _RANGES = (range(0x80), range(0x80, 0x3400), range(0xA000, 0xAC00), range(0xF900, 0x10000))
 _RANGES += (range(0x1D400, 0x1D800), range(0x1EE00, 0x1EF00), range(0xE0000, 0xE0200))
 _FOLDS = {c: x for r in _RANGES for c in r if (x := _folded(c)) is not None}
-_FOLDABLE = re.compile("[" + re.escape("".join(map(chr, _FOLDS))) + "]")
-
-
-def _fold_one(match: re.Match) -> str:
-    return _FOLDS[ord(match.group())]
-
 
 def _script(letter: str) -> int | None:
     code = ord(letter)
@@ -166,7 +160,7 @@ def one_form(text: str | None, memo: dict | None = None) -> str | None:
     if text is None or _SAFE.fullmatch(text):
         return text
     text = re.sub(BREAKS, "\n", text)
-    text = _FOLDABLE.sub(_fold_one, text)
+    text = text.translate(_FOLDS)
     text = _JOINERS.sub("", text)
     if _OTHER_SCRIPT.search(text):
         text = _one_script(unicodedata.normalize("NFD", text), {} if memo is None else memo)
