@@ -6,10 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigraph.llm import lookalike
+from lexigraph.llm import lookalike, mixing, nearest, packing, tokens
 from lexigraph.sources.tables import read_table
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "vector_index", "chunk_id", "embedding")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.mutual_pairs(_vectors(spark, sf_dir), 0.9).drop("cosine")
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_chunks(_vectors(spark, sf_dir))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized = tokens.sized_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    budgets = read_table(spark, sf_dir, "token_budgets")
+    return packing.packed(sized, budgets), budgets
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)[0]
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.container_report(*_packed(spark, sf_dir))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    targets = read_table(spark, sf_dir, "mix_targets")
+    return mixing.mixed(tokens.sized_documents(documents, "source"), targets), targets
+
+
+def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.share_report(*_mixed(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_reading_pairs(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -19,6 +59,12 @@ def p8_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": p5_found,
+    "p5_neighbours": p5_neighbours,
+    "p6_packed": p6_packed,
+    "p6_containers": p6_containers,
+    "p7_mixed": p7_mixed,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_normalized": p8_normalized,
 }
