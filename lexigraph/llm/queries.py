@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigraph.llm import lookalike, mixing, nearest, packing, tokens
+from lexigraph.llm import linkage, lookalike, mixing, nearest, packing, tokens
 from lexigraph.sources.tables import read_table
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = read_table(
+        spark, sf_dir, "parsed_refs", "ref_id", "raw_text", "arxiv_id", "doi", "title", "authors", "year"
+    )
+    papers = read_table(spark, sf_dir, "papers", "arxiv_id", "title", "authors", "published", "updated")
+    return linkage.linked(refs, papers, read_table(spark, sf_dir, "reading_list"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir).where("confidence >= 0.5").select("ref_id", "arxiv_id")
+
+
+def p3_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir).select("ref_id", "arxiv_id", "confidence")
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "vector_index", "chunk_id", "embedding")
 
@@ -59,6 +75,8 @@ def p8_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_confidence": p3_confidence,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
     "p6_packed": p6_packed,
