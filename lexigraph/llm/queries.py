@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigraph.llm import linkage, lookalike, mixing, nearest, packing, tokens
+from lexigraph.llm import linkage, lookalike, mixing, nearest, packing, quality, tokens
 from lexigraph.sources.tables import read_table
 
 
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.text_units(
+        read_table(spark, sf_dir, "chunks", "chunk_id", "text"),
+        read_table(spark, sf_dir, "extracted", "arxiv_id", "sections"),
+    )
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_prose(_units(spark, sf_dir))
+
+
+def p1_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_units(spark, sf_dir))
+
+
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = read_table(
         spark, sf_dir, "parsed_refs", "ref_id", "raw_text", "arxiv_id", "doi", "title", "authors", "year"
@@ -75,6 +90,8 @@ def p8_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_scored": p1_scored,
     "p3_found": p3_found,
     "p3_confidence": p3_confidence,
     "p5_found": p5_found,
