@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,9 +41,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the written rows.
+    """Write df as a table in the shared checkpoint folder and go on from the written rows.
 
-    Survives the loss of executors, unlike a local checkpoint.
+    Survives the loss of executors, unlike a local checkpoint. The tables stay
+    until the folder is emptied after the application, as checkpoints do.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
