@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigraph.llm import linkage, lookalike, mixing, nearest, packing, quality, tokens
+from lexigraph.llm import linkage, lookalike, mixing, nearest, packing, quality, scans, tokens
 from lexigraph.sources.tables import read_table
 
 
@@ -25,6 +25,20 @@ def p1_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(_units(spark, sf_dir))
 
 
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(
+        spark, sf_dir, "extracted", "arxiv_id", "full_text", "references_text", "sections"
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repairs(_extracted(spark, sf_dir))[0].drop("stored").distinct()
+
+
+def p2_reflowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.reflowed(_extracted(spark, sf_dir))
+
+
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = read_table(
         spark, sf_dir, "parsed_refs", "ref_id", "raw_text", "arxiv_id", "doi", "title", "authors", "year"
@@ -92,6 +106,8 @@ def p8_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_scored": p1_scored,
+    "p2_found": p2_found,
+    "p2_reflowed": p2_reflowed,
     "p3_found": p3_found,
     "p3_confidence": p3_confidence,
     "p5_found": p5_found,
