@@ -6,8 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigraph.operators import hot_keys
+from pyspark.sql import functions as F
+
+from lexigraph.functions import text as tx
+from lexigraph.operators import (
+    answers,
+    chunking,
+    dense,
+    dialogue,
+    evaluation,
+    extraction,
+    fusion,
+    graph,
+    graph_retrieval,
+    hot_keys,
+    lexical,
+)
+from lexigraph.plans import corpus
+from lexigraph.session import cut
+from lexigraph.sources import sessions
 from lexigraph.sources.tables import read_table
+from lexigraph.streaming import citations as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,8 +46,7 @@ def query(name: str, sql: str | None = None):
 
 # -- keys that hold most records ------------------------------------------------
 
-PAIRS_SQL = """
-pairs AS (
+PAIRS_SQL = """pairs AS MATERIALIZED (
   SELECT DISTINCT arxiv_id AS src, dst FROM (
     SELECT arxiv_id, regexp_replace(trim(unnest(cited_arxiv_ids)), 'v[0-9]+$', '') AS dst FROM citations
   ) WHERE arxiv_id IS NOT NULL AND dst IS NOT NULL AND dst <> '' AND arxiv_id <> dst
@@ -77,4 +95,553 @@ def p4_cited_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hot_keys.lists_per_key(_pairs(spark, sf_dir), "src", "dst").withColumnRenamed(
         "src", "arxiv_id"
     )
-FLAGSHIP = "p4_found"
+
+# -- lexical ranking --------------------------------------------------------------
+
+BLANK_SQL = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def tokens_sql(text: str) -> str:
+    return (
+        f"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '{BLANK_SQL}'),"
+        " lambda x: length(x) > 1)"
+    )
+
+
+def bm25_sql(corpus_cte: str, key: str, queries_cte: str, k: int, prefix: str = "b") -> str:
+    """CTEs that end in <prefix>_top (qid, key, rank, score, normalized)."""
+    t = prefix
+    return f"""
+    {t}_tok AS (SELECT {key}, {tokens_sql('text')} AS t FROM {corpus_cte}),
+    {t}_size AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {t}_tok),
+    {t}_post AS MATERIALIZED (
+      SELECT term, {key}, dl, count(*) AS tf
+      FROM (SELECT {key}, len(t) AS dl, unnest(t) AS term FROM {t}_tok) GROUP BY ALL),
+    {t}_raw AS (
+      SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw
+      FROM (SELECT term, count(*) AS df FROM {t}_post GROUP BY term), {t}_size),
+    {t}_idf AS MATERIALIZED (
+      SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM {t}_raw) ELSE raw END AS idf FROM {t}_raw),
+    {t}_q AS (
+      SELECT qid, term, count(*) AS times
+      FROM (SELECT qid, unnest({tokens_sql('query')}) AS term FROM {queries_cte}) GROUP BY ALL),
+    {t}_score AS (
+      SELECT qid, {key}, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
+      FROM {t}_q JOIN {t}_post USING (term) JOIN {t}_idf USING (term), {t}_size GROUP BY qid, {key}),
+    {t}_rank AS (
+      SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, {key}) AS rank FROM {t}_score WHERE score > 0),
+    {t}_top AS (
+      SELECT qid, {key}, rank, score, score / max(score) OVER (PARTITION BY qid) AS normalized
+      FROM {t}_rank WHERE rank <= {k})"""
+
+
+DOC_QUERIES_SQL = "dq AS (SELECT doc_id AS qid, title AS query FROM documents WHERE doc_id % 20 = 0 AND title IS NOT NULL)"
+
+
+def _doc_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set: titles of all documents whose id is divisible by 20."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "title")
+    return docs.where("doc_id % 20 = 0 and title is not null").select(
+        F.col("doc_id").alias("qid"), F.col("title").alias("query")
+    )
+
+
+def _doc_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return lexical.postings(docs, "doc_id", F.col("text")), lexical.corpus_size(docs, F.col("text"))
+
+
+@query(
+    "tokenize_stats",
+    f"""SELECT source, count(*) AS docs, sum(len(t))::bigint AS tokens FROM (
+      SELECT source, {tokens_sql('text')} AS t FROM documents) GROUP BY source""",
+)
+def tokenize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "source", "text")
+    return docs.groupBy("source").agg(
+        F.count(F.lit(1)).alias("docs"), F.sum(F.size(tx.tokens(F.col("text")))).alias("tokens")
+    )
+
+
+@query(
+    "bm25_vocab_idf",
+    f"WITH {DOC_QUERIES_SQL}, {bm25_sql('documents', 'doc_id', 'dq', 10)}"
+    " SELECT term, df, round(idf, 6) AS idf FROM b_idf",
+)
+def bm25_vocab_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.weights(*_doc_index(spark, sf_dir))
+    return found.withColumn("idf", F.round("idf", 6))
+
+
+@query(
+    "bm25_topk",
+    f"WITH {DOC_QUERIES_SQL}, {bm25_sql('documents', 'doc_id', 'dq', 10)}"
+    " SELECT qid, doc_id, rank, round(score, 6) AS score, round(normalized, 6) AS normalized FROM b_top",
+)
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = lexical.ranked(_doc_queries(spark, sf_dir), *_doc_index(spark, sf_dir), "doc_id", 10)
+    return best.withColumns({"score": F.round("score", 6), "normalized": F.round("normalized", 6)})
+
+
+_EXCLUDING = bm25_sql("documents", "doc_id", "dq", 10).replace(
+    "b_size GROUP BY qid, doc_id", "b_size WHERE qid <> doc_id GROUP BY qid, doc_id"
+)
+
+
+@query(
+    "bm25_topk_excluding",
+    f"WITH {DOC_QUERIES_SQL}, {_EXCLUDING} SELECT qid, doc_id, rank, round(score, 6) AS score FROM b_top",
+)
+def bm25_topk_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = _doc_queries(spark, sf_dir)
+    own = queries.select("qid", F.col("qid").alias("doc_id"))
+    best = lexical.ranked(queries, *_doc_index(spark, sf_dir), "doc_id", 10, own)
+    return best.select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+# -- dense ranking ----------------------------------------------------------------
+
+DENSE_SQL = """
+e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::double) AS v FROM embeddings),
+u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e),
+s AS (
+  SELECT q.vec_id AS qid, q.label AS q_label, d.vec_id, d.label, round(list_dot_product(q.v, d.v), 9) AS score
+  FROM u q, u d WHERE q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id)"""
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    data = dense.unit_vectors(read_table(spark, sf_dir, "embeddings"), "vec_id")
+    return data.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "vec"), data
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "embeddings", "vec_id", "label")
+
+
+def _top_sql(where: str = "true", k: int = 10) -> str:
+    return f"""SELECT qid, vec_id, label, q_label, score, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s WHERE {where}
+    ) WHERE rank <= {k}"""
+
+
+@query("dense_topk", f"WITH {DENSE_SQL} SELECT qid, vec_id, rank, round(score, 6) AS score FROM ({_top_sql()})")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, data = _embeddings(spark, sf_dir)
+    found = dense.nearest(queries, data, "vec_id", 10, same=True)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "dense_topk_prefiltered",
+    f"WITH {DENSE_SQL} SELECT qid, vec_id, rank, round(score, 6) AS score FROM ({_top_sql('label in (1, 3, 5)')})",
+)
+def dense_topk_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, data = _embeddings(spark, sf_dir)
+    wanted = _labels(spark, sf_dir).where(F.col("label").isin(1, 3, 5)).select("vec_id")
+    found = dense.nearest(queries, data.join(wanted, "vec_id", "left_semi"), "vec_id", 10, same=True)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "dense_topk_postfiltered",
+    f"WITH {DENSE_SQL} SELECT qid, vec_id, rank, round(score, 6) AS score FROM ({_top_sql()}) WHERE label <> q_label",
+)
+def dense_topk_postfiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, data = _embeddings(spark, sf_dir)
+    labels = _labels(spark, sf_dir)
+    own = labels.select(F.col("vec_id").alias("qid"), F.col("label").alias("q_label"))
+    found = dense.nearest(queries, data, "vec_id", 10, same=True).join(labels, "vec_id").join(own, "qid")
+    return found.where("label <> q_label").select("qid", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(
+    "vector_first_wins",
+    """SELECT chunk_id, arxiv_id, section_name, position FROM (
+      SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY position, arxiv_id, section_name) AS r FROM vector_index
+    ) WHERE r = 1""",
+)
+def vector_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "vector_index", "chunk_id", "arxiv_id", "section_name", "position")
+    return dense.first_of_each(rows, "chunk_id", "position", "arxiv_id", "section_name")
+
+
+@query(
+    "vector_upsert",
+    """WITH v AS (SELECT chunk_id, max(position) AS position FROM vector_index GROUP BY chunk_id),
+    c AS (SELECT chunk_id, max(position) AS position FROM chunks GROUP BY chunk_id)
+    SELECT v.chunk_id, v.position, 'kept' AS state FROM v ANTI JOIN c USING (chunk_id)
+    UNION ALL SELECT chunk_id, position, 'written' FROM c""",
+)
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def latest(name: str, state: str) -> DataFrame:
+        rows = read_table(spark, sf_dir, name, "chunk_id", "position")
+        return rows.groupBy("chunk_id").agg(F.max("position").alias("position")).withColumn(
+            "state", F.lit(state)
+        )
+
+    return dense.upserted(latest("vector_index", "kept"), latest("chunks", "written"), "chunk_id")
+
+
+# -- text of papers ---------------------------------------------------------------
+
+EXTRACTED_SQL = "x AS (SELECT arxiv_id, max(full_text) AS full_text, max(references_text) AS references_text FROM extracted WHERE arxiv_id IS NOT NULL GROUP BY arxiv_id)"
+
+
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text per paper: repeated extractions differ in metadata only."""
+    rows = read_table(spark, sf_dir, "extracted", "arxiv_id", "full_text", "references_text")
+    return rows.where("arxiv_id is not null").groupBy("arxiv_id").agg(
+        F.max("full_text").alias("full_text"), F.max("references_text").alias("references_text")
+    )
+
+
+@query(
+    "extracted_titles",
+    f"""WITH {EXTRACTED_SQL} SELECT arxiv_id, coalesce(list_filter(
+      list_transform(list_slice(string_split(coalesce(full_text, ''), chr(10)), 1, 20), lambda l: trim(l)),
+      lambda l: length(l) > 15 AND NOT starts_with(lower(l), 'arxiv'))[1], 'Unknown Title') AS title FROM x""",
+)
+def extracted_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir).select(
+        "arxiv_id", extraction.title_of(F.col("full_text")).alias("title")
+    )
+
+
+@query("extracted_abstracts")
+def extracted_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir).select(
+        "arxiv_id", extraction.abstract_of(F.col("full_text")).alias("abstract")
+    )
+
+
+@query(
+    "extracted_references",
+    f"""WITH {EXTRACTED_SQL} SELECT arxiv_id, trim(string_split_regex(regexp_extract(full_text,
+      '(?is)\\n\\s*(?:\\d+\\.?\\s+)?(?:references|bibliography)\\s*\\n(.*)$', 1),
+      '(?i)\\n\\s*(?:appendix|supplementary)\\b')[1]) AS references_text FROM x""",
+)
+def extracted_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir).select(
+        "arxiv_id", extraction.references_of(F.col("full_text")).alias("references_text")
+    )
+
+
+_HEAD = extraction._HEADING.replace("'", "''")
+_NUM = extraction._NUMBERED
+
+
+@query(
+    "section_segments",
+    rf"""WITH {EXTRACTED_SQL},
+    l AS (SELECT arxiv_id, generate_subscripts(a, 1) AS pos, unnest(a) AS line
+          FROM (SELECT arxiv_id, string_split(full_text, chr(10)) AS a FROM x WHERE full_text IS NOT NULL)),
+    h AS (SELECT *, length(trim(line)) <= 100 AND (regexp_matches(trim(line), '{_HEAD}') OR regexp_matches(trim(line), '{_NUM}')) AS head FROM l),
+    m AS (SELECT *, sum(head::int) OVER (PARTITION BY arxiv_id ORDER BY pos) AS no, bool_or(head) OVER (PARTITION BY arxiv_id) AS seen FROM h),
+    g AS (SELECT arxiv_id, no, max(CASE WHEN head THEN trim(line) END) AS name,
+          trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT head), '')) AS text
+          FROM m WHERE no > 0 OR NOT seen GROUP BY arxiv_id, no)
+    SELECT arxiv_id, no::bigint AS ord, coalesce(name, 'Full Text') AS name, text FROM g WHERE length(text) >= 50""",
+)
+def section_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.sections(_extracted(spark, sf_dir), "arxiv_id", "full_text")
+
+
+@query(
+    "reference_split",
+    f"""WITH {EXTRACTED_SQL}, s AS (
+      SELECT arxiv_id, list_slice(string_split_regex(chr(10) || references_text, '\\n\\s*\\[\\d+\\]\\s*'), 2, 1000000) AS a,
+        string_split_regex(references_text, '\\n\\s*\\n') AS b,
+        list_filter(string_split(references_text, chr(10)), lambda l: length(trim(l)) > 20) AS c FROM x WHERE references_text IS NOT NULL),
+    p AS (SELECT arxiv_id, list_filter(list_transform(CASE WHEN len(a) > 2 THEN a WHEN len(b) > 2 THEN b ELSE c END,
+        lambda r: trim(regexp_replace(r, '\\s+', ' ', 'g'))), lambda r: r <> '') AS r FROM s)
+    SELECT arxiv_id, generate_subscripts(r, 1) - 1 AS ord, unnest(r) AS raw_text FROM p""",
+)
+def reference_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _extracted(spark, sf_dir).where("references_text is not null")
+    return texts.select(
+        "arxiv_id",
+        F.posexplode(extraction.split_references(F.col("references_text"))).alias("ord", "raw_text"),
+    )
+
+
+@query(
+    "reference_parse",
+    """SELECT ref_id,
+      regexp_replace(nullif(regexp_extract(raw_text, '(\\d{4}\\.\\d{4,5})(v\\d+)?', 1), ''), 'v\\d+$', '') AS parsed_arxiv_id,
+      regexp_replace(nullif(regexp_extract(raw_text, '(10\\.\\d{4,}/[^\\s,;]+)', 1), ''), '\\.+$', '') AS parsed_doi,
+      regexp_replace(nullif(regexp_extract(raw_text, '"([^"]{15,200})"', 1), ''), '[.,]$', '') AS parsed_title,
+      try_cast(nullif(regexp_extract(raw_text, '\\b(20[012]\\d)\\b', 1), '') AS int) AS parsed_year
+    FROM parsed_refs""",
+)
+def reference_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = read_table(spark, sf_dir, "parsed_refs", "ref_id", "raw_text")
+    return extraction.reference_fields(refs).drop("raw_text")
+
+
+def _norm_sql(t: str) -> str:
+    kept = f"regexp_replace(trim(lower({t})), '[^a-z0-9\\s]', '', 'g')"
+    return f"trim(regexp_replace({kept}, '\\s+', ' ', 'g'))"
+
+
+@query(
+    "title_match",
+    f"""WITH t AS (SELECT {_norm_sql('title')} AS t, max(arxiv_id) AS dst FROM papers WHERE title IS NOT NULL GROUP BY 1)
+    SELECT ref_id, dst FROM parsed_refs r JOIN t ON {_norm_sql('r.title')} = t.t WHERE t.t <> '' AND src_arxiv_id <> dst""",
+)
+def title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = read_table(spark, sf_dir, "parsed_refs", "ref_id", "src_arxiv_id", "title").select(
+        F.col("src_arxiv_id").alias("src"), F.col("ref_id").alias("ord"), "title"
+    )
+    papers = read_table(spark, sf_dir, "papers", "arxiv_id", "title")
+    found = extraction.matched_titles(refs, papers, tx.normalized_title)
+    return found.select(F.col("ord").alias("ref_id"), "dst")
+
+
+@query(
+    "chunk_windows",
+    rf"""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{BLANK_SQL}'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+    n AS (SELECT *, CASE WHEN len(w) > 512 THEN ceil((len(w) - 102) / 410.0)::int ELSE 1 END AS n FROM w),
+    i AS (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM n)
+    SELECT doc_id, i AS piece, CASE WHEN len(w) > 512 THEN array_to_string(list_slice(w, i * 410 + 1, i * 410 + 512), ' ') ELSE text END AS text FROM i""",
+)
+def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null")
+    return docs.select("doc_id", F.posexplode(chunking.windows(F.col("text"))).alias("piece", "text"))
+
+
+@query("chunk_paragraph_merge")
+def chunk_paragraph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null")
+    merged = chunking.merged_paragraphs(F.col("text"), delimiter="\n")
+    return docs.select("doc_id", F.posexplode(merged).alias("piece", "text"))
+
+
+@query("chunk_pipeline")
+def chunk_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "extracted", "arxiv_id", "abstract", "sections")
+    return chunking.chunks(rows.where("arxiv_id is not null").dropDuplicates(["arxiv_id"]))
+
+
+@query(
+    "chunk_names",
+    r"""SELECT section_name, count(*) AS n, substring(lower(regexp_replace(trim(regexp_replace(section_name,
+      '[^a-zA-Z0-9\s]', '', 'g')), '\s+', '_', 'g')), 1, 50) AS name FROM chunks GROUP BY section_name""",
+)
+def chunk_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = read_table(spark, sf_dir, "chunks", "section_name").groupBy("section_name")
+    return counts.agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "name", tx.sanitized_name(F.col("section_name"))
+    )
+
+
+# -- citation graph ---------------------------------------------------------------
+
+GRAPH_SQL = f"""{PAIRS_SQL},
+papers_in AS (SELECT arxiv_id AS id FROM papers WHERE arxiv_id IS NOT NULL UNION SELECT arxiv_id FROM reading_list WHERE arxiv_id IS NOT NULL),
+edges AS MATERIALIZED (SELECT src, dst FROM pairs SEMI JOIN papers_in ON dst = id),
+nodes AS MATERIALIZED (SELECT id FROM papers_in UNION SELECT src FROM edges),
+around AS MATERIALIZED (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
+seeds AS MATERIALIZED (SELECT id AS qid, id FROM nodes WHERE md5(id) LIKE '0%')"""
+
+
+@query("graph_edges", f"WITH {GRAPH_SQL} SELECT src, dst FROM edges")
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.graph_tables(spark, sf_dir)[1]
+
+
+DEGREES_SQL = """deg AS (
+  SELECT id, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM nodes
+  LEFT JOIN (SELECT dst AS id, count(*) AS i FROM edges GROUP BY dst) USING (id)
+  LEFT JOIN (SELECT src AS id, count(*) AS o FROM edges GROUP BY src) USING (id))"""
+
+
+@query("graph_degrees", f"WITH {GRAPH_SQL}, {DEGREES_SQL} SELECT * FROM deg")
+def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(*corpus.graph_tables(spark, sf_dir))
+
+
+@query(
+    "graph_neighbours",
+    f"""WITH {GRAPH_SQL}, e AS (SELECT src AS id, count(*) AS either FROM around GROUP BY src), {DEGREES_SQL}
+    SELECT id, out_degree AS cited, in_degree AS citing, coalesce(either, 0) AS either FROM deg LEFT JOIN e USING (id) WHERE in_degree + out_degree > 0""",
+)
+def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_retrieval.neighbours(corpus.graph_tables(spark, sf_dir)[1])
+
+
+def components_sql(rounds: int = 12) -> str:
+    steps = ["c0 AS MATERIALIZED (SELECT id, id AS c FROM nodes)"]
+    for i in range(1, rounds + 1):
+        steps.append(
+            f"""c{i} AS MATERIALIZED (SELECT p.id, least(p.c, coalesce(m.c, p.c)) AS c FROM c{i - 1} p LEFT JOIN (
+            SELECT a.src AS id, min(x.c) AS c FROM around a JOIN c{i - 1} x ON a.dst = x.id GROUP BY a.src) m ON p.id = m.id)"""
+        )
+    return ", ".join(steps) + f", comp AS (SELECT id, c AS component FROM c{rounds})"
+
+
+@query("graph_components", f"WITH {GRAPH_SQL}, {components_sql()} SELECT * FROM comp")
+def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(*corpus.graph_tables(spark, sf_dir))
+
+
+@query(
+    "graph_stats",
+    f"""WITH {GRAPH_SQL}, {DEGREES_SQL}, {components_sql()},
+    k AS (SELECT component, count(*) AS size FROM comp GROUP BY component)
+    SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges,
+      round((SELECT avg(in_degree) FROM deg), 6) AS avg_in_degree, (SELECT max(in_degree) FROM deg) AS max_in_degree,
+      (SELECT max(out_degree) FROM deg) AS max_out_degree, (SELECT count(*) FROM k) AS components,
+      (SELECT max(size) FROM k) AS largest_component,
+      round((SELECT count(*) FROM edges) / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1.0)), 9) AS density""",
+)
+def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.stats(*corpus.graph_tables(spark, sf_dir))
+    return found.withColumns(
+        {"avg_in_degree": F.round("avg_in_degree", 6), "density": F.round("density", 9)}
+    )
+
+
+def pagerank_sql(rounds: int = 10) -> str:
+    steps = [
+        "n AS (SELECT count(*)::double AS n FROM nodes)",
+        "od AS (SELECT src, count(*) AS o FROM edges GROUP BY src)",
+        "r0 AS MATERIALIZED (SELECT id, 1 / n AS pr FROM nodes, n)",
+    ]
+    for i in range(1, rounds + 1):
+        steps.append(
+            f"""r{i} AS MATERIALIZED (SELECT nodes.id, 0.15 / n.n + 0.85 * l.lost / n.n + 0.85 * coalesce(g.got, 0) AS pr
+            FROM nodes LEFT JOIN (SELECT dst AS id, sum(p.pr / od.o) AS got FROM edges JOIN od USING (src) JOIN r{i - 1} p ON p.id = src GROUP BY dst) g USING (id),
+            n, (SELECT coalesce(sum(pr), 0) AS lost FROM r{i - 1} ANTI JOIN od ON id = od.src) l)"""
+        )
+    return ", ".join(steps) + f", pr AS MATERIALIZED (SELECT id, pr AS pagerank FROM r{rounds})"
+
+
+@query("graph_pagerank", f"WITH {GRAPH_SQL}, {pagerank_sql()} SELECT id, round(pagerank, 9) AS pagerank FROM pr")
+def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = graph.pagerank(*corpus.graph_tables(spark, sf_dir))
+    return ranks.withColumn("pagerank", F.round("pagerank", 9))
+
+
+def communities_sql(rounds: int = 5) -> str:
+    steps = [
+        "own AS MATERIALIZED (SELECT src, dst FROM around UNION ALL SELECT id, id FROM nodes)",
+        "l0 AS MATERIALIZED (SELECT id, id AS c FROM nodes)",
+    ]
+    for i in range(1, rounds + 1):
+        steps.append(
+            f"""l{i} AS MATERIALIZED (SELECT id, c FROM (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY v DESC, c) AS r FROM (
+            SELECT src AS id, c, count(*) AS v FROM own JOIN l{i - 1} x ON x.id = dst GROUP BY src, c)) WHERE r = 1)"""
+        )
+    return ", ".join(steps) + f", com AS MATERIALIZED (SELECT id, c AS community FROM l{rounds})"
+
+
+@query("graph_communities", f"WITH {GRAPH_SQL}, {communities_sql()} SELECT * FROM com")
+def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.communities(*corpus.graph_tables(spark, sf_dir))
+
+
+@query(
+    "graph_community_sizes",
+    f"""WITH {GRAPH_SQL}, {communities_sql()} SELECT community, count(*) AS size FROM com GROUP BY community
+    ORDER BY size DESC, community LIMIT 10""",
+)
+def graph_community_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.communities(*corpus.graph_tables(spark, sf_dir))
+    sizes = found.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.orderBy(F.desc("size"), "community").limit(10)
+
+
+def distances_sql(depth: int = 2) -> str:
+    steps = ["d0 AS MATERIALIZED (SELECT qid, id, 0 AS distance FROM seeds)"]
+    for i in range(1, depth + 1):
+        steps.append(
+            f"""d{i} AS MATERIALIZED (SELECT * FROM d{i - 1} UNION ALL SELECT qid, dst, {i} FROM (
+            SELECT DISTINCT qid, dst FROM d{i - 1} JOIN around ON id = src WHERE distance = {i - 1}) f
+            ANTI JOIN d{i - 1} o ON o.qid = f.qid AND o.id = f.dst)"""
+        )
+    return ", ".join(steps) + f", dist AS (SELECT * FROM d{depth})"
+
+
+@query("graph_distances", f"WITH {GRAPH_SQL}, {distances_sql()} SELECT * FROM dist")
+def graph_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = corpus.graph_tables(spark, sf_dir)
+    return graph.distances(corpus.seeds(nodes), edges, 2)
+
+
+PROXIMITY_SQL = """near AS (SELECT qid, id, 1 / (1.0 + min(distance)) AS proximity FROM dist WHERE distance > 0 GROUP BY qid, id)"""
+
+
+@query(
+    "graph_proximity",
+    f"WITH {GRAPH_SQL}, {distances_sql()}, {PROXIMITY_SQL} SELECT qid, id, round(proximity, 6) AS proximity FROM near",
+)
+def graph_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = corpus.graph_tables(spark, sf_dir)
+    near = graph_retrieval.proximity(graph.distances(corpus.seeds(nodes), edges, 2))
+    return near.withColumn("proximity", F.round("proximity", 6))
+
+
+# -- finding papers through the graph ----------------------------------------------
+
+EXPANSION_SQL = """ex_out AS (SELECT qid, id AS seed, dst AS id FROM seeds JOIN edges ON id = src),
+ex_first AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid, seed ORDER BY id) AS r FROM ex_out) WHERE r <= 5),
+ex_all AS (
+  SELECT qid, id, 0.8 AS score FROM ex_out
+  UNION ALL SELECT qid, src, 0.7 FROM seeds JOIN edges ON id = dst
+  UNION ALL SELECT qid, dst, 0.4 FROM ex_first JOIN edges ON id = src),
+ex_best AS (SELECT qid, id, max(score)::double AS score FROM ex_all GROUP BY qid, id),
+ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank
+  FROM ex_best ANTI JOIN seeds USING (qid, id)) WHERE rank <= 33)"""
+
+
+@query("citation_expansion", f"WITH {GRAPH_SQL}, {EXPANSION_SQL} SELECT qid, id, rank, score FROM ex")
+def citation_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = corpus.graph_tables(spark, sf_dir)
+    return graph_retrieval.expansion(corpus.seeds(nodes), edges)
+
+
+PEERS_SQL = """peers AS (
+  SELECT s.qid, m.id, p.pagerank FROM seeds s JOIN com c ON c.id = s.id JOIN com m ON m.community = c.community
+  JOIN pr p ON p.id = m.id WHERE m.id <> s.id),
+peer_rank AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(pagerank, 12) DESC, id) AS rank,
+  max(pagerank) OVER (PARTITION BY qid) AS best FROM peers),
+cp AS (SELECT qid, id, rank, pagerank / best AS score FROM peer_rank WHERE rank <= 33)"""
+
+
+@query(
+    "community_retrieval",
+    f"WITH {GRAPH_SQL}, {communities_sql()}, {pagerank_sql()}, {PEERS_SQL} SELECT qid, id, rank, round(score, 6) AS score FROM cp",
+)
+def community_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = corpus.graph_tables(spark, sf_dir)
+    found = graph_retrieval.community_peers(
+        corpus.seeds(nodes), graph.communities(nodes, edges), graph.pagerank(nodes, edges)
+    )
+    return found.select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def walk_sql(steps: int = 5) -> str:
+    parts = [
+        "links AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)",
+        """moves AS MATERIALIZED (SELECT src, dst, count(*) / any_value(o) AS p FROM links JOIN (
+           SELECT src, count(*)::double AS o FROM links GROUP BY src) USING (src) GROUP BY src, dst)""",
+        "w0 AS (SELECT qid, id, 1.0::double AS mass FROM seeds)",
+    ]
+    for i in range(1, steps + 1):
+        parts.append(
+            f"w{i} AS MATERIALIZED (SELECT qid, dst AS id, sum(mass * p) AS mass FROM w{i - 1} JOIN moves ON id = src GROUP BY qid, dst)"
+        )
+    visits = " UNION ALL ".join(f"SELECT qid, id, mass / {i} AS v FROM w{i}" for i in range(1, steps + 1))
+    return ", ".join(parts) + f""", wv AS (SELECT qid, id, sum(v) AS v FROM ({visits}) GROUP BY qid, id),
+    wn AS (SELECT qid, id, round(v / max(v) OVER (PARTITION BY qid), 9) AS score FROM wv ANTI JOIN seeds USING (qid, id)),
+    wk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM wn) WHERE rank <= 33)"""
+
+
+@query("expected_walk", f"WITH {GRAPH_SQL}, {walk_sql()} SELECT qid, id, rank, round(score, 6) AS score FROM wk")
+def expected_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = corpus.graph_tables(spark, sf_dir)
+    found = graph_retrieval.expected_walk(corpus.seeds(nodes), edges)
+    return found.withColumn("score", F.round("score", 6))
+
+
+FLAGSHIP = "bm25_topk"
