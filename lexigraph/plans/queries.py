@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,8 @@ from lexigraph.operators import (
     lexical,
 )
 from lexigraph.plans import corpus
-from lexigraph.session import cut
+from lexigraph.plans.engine import METHODS, Engine
+from lexigraph.session import cut, ensure_checkpoint_dir
 from lexigraph.sources import sessions
 from lexigraph.sources.tables import read_table
 from lexigraph.streaming import citations as stream
@@ -644,4 +646,396 @@ def expected_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+
+# -- fusion and search ------------------------------------------------------------
+
+SEARCH_SQL = f"""
+titles AS (
+  SELECT arxiv_id AS id, arg_max(trim(title), (own, updated, title, published)) AS title FROM (
+    SELECT arxiv_id, title, published, updated, 1 AS own FROM papers
+    UNION ALL SELECT arxiv_id, title, published, '', 0 FROM reading_list) WHERE arxiv_id IS NOT NULL GROUP BY arxiv_id),
+ch AS MATERIALIZED (
+  SELECT chunk_id, max(arxiv_id) AS arxiv_id, max(text) AS body,
+    coalesce(max(paper_title), '') || ' ' || coalesce(max(section_name), '') || ' ' || coalesce(max(text), '') AS text
+  FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
+vraw AS (SELECT chunk_id, any_value(embedding) AS e FROM vector_index
+  WHERE chunk_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL)) = 64 GROUP BY chunk_id),
+vd AS (SELECT chunk_id, list_transform(e, lambda x: x::double) AS v FROM vraw),
+vec AS MATERIALIZED (SELECT chunk_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM vd WHERE list_dot_product(v, v) > 0),
+paper_of AS MATERIALIZED (SELECT chunk_id AS key, max(arxiv_id) AS arxiv_id FROM (
+  SELECT chunk_id, arxiv_id FROM vector_index UNION ALL SELECT chunk_id, arxiv_id FROM ch) GROUP BY chunk_id),
+sq AS MATERIALIZED (SELECT qid, titles.title AS query, v FROM seeds JOIN titles USING (id) JOIN vec ON chunk_id = id || '_abstract'),
+dn AS MATERIALIZED (SELECT * FROM (
+  SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (
+    SELECT qid, chunk_id, round(list_dot_product(sq.v, vec.v), 9) AS score FROM sq, vec)) WHERE rank <= 100),
+{bm25_sql('ch', 'chunk_id', 'sq', 100)},
+text_lists AS MATERIALIZED (
+  SELECT qid, 'dense' AS source, 0 AS place, rank, chunk_id AS key, arxiv_id, 0.5 AS w FROM dn JOIN paper_of ON key = chunk_id
+  UNION ALL SELECT qid, 'sparse', 1, rank, chunk_id, arxiv_id, 0.3 FROM b_top JOIN paper_of ON key = chunk_id)"""
+
+RELATED_SQL = f"""{communities_sql()}, {pagerank_sql()}, {PEERS_SQL}, {EXPANSION_SQL}, {walk_sql()}, {distances_sql()}, {PROXIMITY_SQL},
+graph_lists AS MATERIALIZED (
+  SELECT l.qid, 'graph' AS source, 2 AS place, row_number() OVER (PARTITION BY l.qid ORDER BY list, rank) AS rank, id AS key, id AS arxiv_id, 0.2 AS w
+  FROM (SELECT qid, id, rank, 0 AS list FROM ex UNION ALL SELECT qid, id, rank, 1 FROM wk UNION ALL SELECT qid, id, rank, 2 FROM cp) l SEMI JOIN sq ON l.qid = sq.qid)"""
+
+
+def fused_sql(lists: str, name: str) -> str:
+    return f"""{name} AS MATERIALIZED (
+      SELECT qid, key, score, arxiv_id, source, row_number() OVER (PARTITION BY qid ORDER BY score DESC, place, first_rank, key) AS rank FROM (
+        SELECT qid, key, round(sum(w / (60 + rank)), 9) AS score, arg_min(arxiv_id, (place, rank)) AS arxiv_id,
+          arg_min(source, (place, rank)) AS source, min(place) AS place, arg_min(rank, (place, rank)) AS first_rank
+        FROM ({lists}) GROUP BY qid, key))"""
+
+
+FUSED_SQL = fused_sql("SELECT * FROM text_lists", "fu")
+FUSED_GRAPH_SQL = fused_sql("SELECT * FROM text_lists UNION ALL SELECT * FROM graph_lists", "fg")
+SCORED_SQL = """sc AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, old_rank) AS rank FROM (
+    SELECT fg.qid, key, fg.arxiv_id, source, fg.rank AS old_rank, coalesce(pagerank, 0) AS pagerank, coalesce(proximity, 0) AS proximity,
+      round(0.5 * score + 0.2 * coalesce(pagerank, 0) / (SELECT max(pagerank) FROM pr) + 0.2 * coalesce(proximity, 0), 9) AS score
+    FROM fg LEFT JOIN pr ON pr.id = fg.arxiv_id LEFT JOIN near ON near.qid = fg.qid AND near.id = fg.arxiv_id))"""
+ALL_SQL = f"{GRAPH_SQL}, {SEARCH_SQL}, {RELATED_SQL}, {FUSED_GRAPH_SQL}, {SCORED_SQL}"
+
+
+@query(
+    "search_dense",
+    f"WITH {GRAPH_SQL}, {SEARCH_SQL} SELECT qid, rank, key, arxiv_id FROM text_lists WHERE source = 'dense' AND rank <= 20",
+)
+def search_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, sf_dir)
+    return engine.search(engine.paper_queries(), "dense").drop("score")
+
+
+@query(
+    "search_sparse",
+    f"WITH {GRAPH_SQL}, {SEARCH_SQL} SELECT qid, rank, key, arxiv_id FROM text_lists WHERE source = 'sparse' AND rank <= 20",
+)
+def search_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, sf_dir)
+    return engine.search(engine.paper_queries(), "sparse").drop("score")
+
+
+@query(
+    "hybrid_no_graph",
+    f"WITH {GRAPH_SQL}, {SEARCH_SQL}, {FUSED_SQL} SELECT qid, rank, key, arxiv_id, round(score, 6) AS score FROM fu WHERE rank <= 20",
+)
+def hybrid_no_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, sf_dir)
+    found = engine.search(engine.paper_queries(), "hybrid")
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "rrf_fusion",
+    f"WITH {GRAPH_SQL}, {SEARCH_SQL}, {RELATED_SQL}, {FUSED_GRAPH_SQL} SELECT qid, rank, key, source, round(score, 6) AS score FROM fg",
+)
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, sf_dir)
+    found = engine.fused(engine.paper_queries(), True)
+    return found.select("qid", "rank", "key", "source", F.round("score", 6).alias("score"))
+
+
+@query("hybrid_search", f"WITH {ALL_SQL} SELECT qid, rank, key, arxiv_id, round(score, 6) AS score FROM sc WHERE rank <= 20")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, sf_dir)
+    found = engine.search(engine.paper_queries(), "hybrid_graph")
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "recency_boost",
+    """SELECT arxiv_id, updated, round(CASE WHEN try_cast(substring(published, 1, 4) AS int) IS NULL THEN 0.5
+      ELSE 0.9 * 0.5 + 0.1 * greatest(0.0, 1 - 0.15 * (2026 - try_cast(substring(published, 1, 4) AS int))) END, 6)::double AS score FROM papers""",
+)
+def recency_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "papers", "arxiv_id", "updated", "published")
+    boosted = F.round(fusion.recent(F.lit(0.5), F.col("published"), 2026), 6)
+    return rows.select("arxiv_id", "updated", boosted.alias("score"))
+
+
+def _overlap(query_column: str, text_column: str):
+    """A lexical scorer in place of a trained one: share of the query's tokens in the text."""
+    asked = F.array_distinct(tx.tokens(F.col(query_column)))
+    got = F.size(F.array_intersect(asked, tx.tokens(F.col(text_column))))
+    return got / F.greatest(F.size(asked), F.lit(1))
+
+
+@query(
+    "rerank_cascade",
+    f"""WITH {GRAPH_SQL}, {SEARCH_SQL}, {FUSED_SQL},
+    t AS (SELECT fu.qid, fu.key, fu.rank, list_distinct({tokens_sql('sq.query')}) AS q,
+      {tokens_sql("substring(coalesce(ch.body, ''), 1, 512)")} AS d, count(*) OVER (PARTITION BY fu.qid) AS n
+      FROM fu JOIN sq USING (qid) LEFT JOIN ch ON ch.chunk_id = fu.key),
+    s AS (SELECT qid, key, rank, CASE WHEN n > 20 THEN round(len(list_filter(q, lambda x: list_contains(d, x))) / greatest(len(q), 1)::double, 9) END AS s FROM t WHERE rank <= 100)
+    SELECT qid, key, final_rank, round(s, 6) AS rerank_score FROM (
+      SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC NULLS LAST, rank) AS final_rank FROM s) WHERE final_rank <= 10""",
+)
+def rerank_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, sf_dir)
+    queries = engine.paper_queries()
+    texts = engine.chunks.select(
+        F.col("chunk_id").alias("key"),
+        F.substring(F.coalesce("text", F.lit("")), 1, 512).alias("text"),
+    )
+    found = engine.fused(queries, False).join(texts, "key", "left").join(queries.select("qid", "query"), "qid")
+    best = fusion.cascade(found, _overlap("query", "text"))
+    return best.select("qid", "key", "final_rank", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+# -- from results to answers --------------------------------------------------------
+
+ENTRIES_SQL = """en AS (SELECT fu.qid, fu.rank, fu.key, fu.arxiv_id, coalesce(titles.title, '') AS title, coalesce(ch.body, '') AS body,
+  '[' || fu.arxiv_id || '] ' || coalesce(titles.title, '') || chr(10) || coalesce(ch.body, '') AS entry
+  FROM fu LEFT JOIN ch ON ch.chunk_id = fu.key LEFT JOIN titles ON titles.id = fu.arxiv_id WHERE fu.rank <= 20)"""
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(qid, rank, key, arxiv_id, title, text, entry) of the hybrid search without graph, and the queries."""
+    engine = Engine(spark, sf_dir)
+    queries = engine.paper_queries()
+    found = engine.search(queries, "hybrid")
+    texts = engine.chunks.select(F.col("chunk_id").alias("key"), "text")
+    titles = corpus.papers(spark, sf_dir).select(F.col("id").alias("arxiv_id"), "title")
+    full = found.join(texts, "key", "left").join(titles, "arxiv_id", "left")
+    full = full.select(
+        "qid",
+        "rank",
+        "key",
+        "arxiv_id",
+        F.coalesce("title", F.lit("")).alias("title"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    entry = F.concat(F.lit("["), "arxiv_id", F.lit("] "), "title", F.lit("\n"), "text")
+    return full.withColumn("entry", entry), queries
+
+
+@query(
+    "context_budget",
+    f"""WITH {GRAPH_SQL}, {SEARCH_SQL}, {FUSED_SQL}, {ENTRIES_SQL},
+    u AS (SELECT *, coalesce(sum(length(entry)) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM en)
+    SELECT qid, rank, CASE WHEN used + length(entry) <= 8000 THEN entry ELSE substring(entry, 1, (8000 - used)::int) || '...' END AS entry
+    FROM u WHERE used + length(entry) <= 8000 OR 8000 - used > 200""",
+)
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.context(_entries(spark, sf_dir)[0].select("qid", "rank", "entry"))
+
+
+@query(
+    "papers_list",
+    f"""WITH {GRAPH_SQL}, {SEARCH_SQL}, {FUSED_SQL}, {ENTRIES_SQL},
+    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, arxiv_id ORDER BY rank) AS r FROM en) WHERE r = 1)
+    SELECT qid, string_agg('- ' || title || ' (' || arxiv_id || ')', chr(10) ORDER BY rank) AS papers FROM f GROUP BY qid""",
+)
+def papers_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.paper_list(_entries(spark, sf_dir)[0])
+
+
+@query("fallback_answer")
+def fallback_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.extract_answer(_entries(spark, sf_dir)[0])
+
+
+@query("answer_quality")
+def answer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faithfulness, relevance and context precision of the extract answers of all stated queries."""
+    entries, queries = _entries(spark, sf_dir)
+    entries = cut(entries)
+    texts = entries.groupBy("qid").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts")
+    )
+    answered = answers.extract_answer(entries).join(texts, "qid").join(queries.select("qid", "query"), "qid")
+    context = F.array_join("texts", "\n")
+    return answered.select(
+        "qid",
+        F.round(evaluation.faithfulness(F.col("answer"), context), 6).alias("faithfulness"),
+        F.round(evaluation.answer_relevance(F.col("query"), F.col("answer")), 6).alias("relevance"),
+        F.round(evaluation.context_precision(F.col("query"), F.col("texts")), 6).alias("context_precision"),
+    )
+
+
+# -- evaluation -------------------------------------------------------------------
+
+METRICS_SQL = f"""WITH {ALL_SQL}, {FUSED_SQL},
+rel AS MATERIALIZED (SELECT DISTINCT src AS qid, dst AS item FROM edges),
+res AS MATERIALIZED (
+  SELECT source AS method, qid, rank, arxiv_id AS item FROM text_lists WHERE rank <= 20
+  UNION ALL SELECT 'hybrid', qid, rank, arxiv_id FROM fu WHERE rank <= 20
+  UNION ALL SELECT 'hybrid_graph', qid, rank, arxiv_id FROM sc WHERE rank <= 20),
+n AS (SELECT qid, count(*) AS n FROM rel GROUP BY qid),
+hits AS (SELECT res.*, n, (rel.item IS NOT NULL)::int AS hit FROM res JOIN n USING (qid) LEFT JOIN rel ON rel.qid = res.qid AND rel.item = res.item),
+nth AS (SELECT *, sum(hit) OVER (PARTITION BY method, qid ORDER BY rank) AS nth FROM hits),
+agg AS (SELECT method, qid, max(n) AS n, sum(hit) FILTER (rank <= 1) AS h1, sum(hit) FILTER (rank <= 5) AS h5, sum(hit) FILTER (rank <= 10) AS h10,
+  sum(hit) FILTER (rank <= 20) AS h20, min(rank) FILTER (hit = 1) AS first, sum(hit / log2(rank + 1)) FILTER (rank <= 10) AS dcg,
+  coalesce(sum(nth / rank) FILTER (hit = 1), 0) AS ps FROM nth GROUP BY method, qid),
+m AS (SELECT method, qid, h1 / 1 AS p_at_1, h5 / 5 AS p_at_5, h10 / 10 AS p_at_10, h20 / 20 AS p_at_20, h5 / n AS r_at_5, h10 / n AS r_at_10, h20 / n AS r_at_20,
+  coalesce(1 / first, 0) AS mrr,
+  CASE WHEN h10 > 0 THEN dcg / list_sum(list_transform(generate_series(1, h10::bigint), lambda i: 1 / log2(i + 1))) ELSE 0 END AS ndcg_10,
+  ps / n AS average_precision FROM agg)"""
+_METRICS = "p_at_1 p_at_5 p_at_10 p_at_20 r_at_5 r_at_10 r_at_20 mrr ndcg_10 average_precision".split()
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of every method over all stated queries; relevant are the papers that a paper cites."""
+    engine = Engine(spark, sf_dir)
+    queries = engine.paper_queries()
+    results = None
+    for method in METHODS:
+        found = engine.search(queries, method).select(
+            F.lit(method).alias("method"), "qid", "rank", F.col("arxiv_id").alias("item")
+        )
+        results = found if results is None else results.unionByName(found)
+    relevant = engine.graph[1].select(F.col("src").alias("qid"), F.col("dst").alias("item")).distinct()
+    return evaluation.ranking_metrics(results, relevant)
+
+
+@query(
+    "retrieval_metrics",
+    f"{METRICS_SQL} SELECT method, qid, {', '.join(f'round({c}, 6)::double AS {c}' for c in _METRICS)} FROM m",
+)
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metrics(spark, sf_dir).withColumns({c: F.round(c, 6) for c in _METRICS})
+
+
+@query(
+    "ablation_report",
+    f"{METRICS_SQL} SELECT method, count(*) AS queries, {', '.join(f'round(avg({c}), 6)::double AS {c}' for c in _METRICS)} FROM m GROUP BY method",
+)
+def ablation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.ablation(_metrics(spark, sf_dir))
+
+
+# -- conversations: the documents on one paper, in the order of their arrival --------
+
+MESSAGES_SQL = """msg AS (SELECT arxiv_id AS conv_id, doc_id AS turn, CASE WHEN lower(trim(source)) IN ('forum', 'qa_pairs') THEN 'user' ELSE 'assistant' END AS role,
+  text AS content FROM documents WHERE arxiv_id IS NOT NULL AND text IS NOT NULL),
+tail AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM msg) WHERE r <= 10)"""
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "arxiv_id", "source", "text")
+    asks = F.coalesce(F.lower(F.trim("source")).isin("forum", "qa_pairs"), F.lit(False))
+    return docs.where("arxiv_id is not null and text is not null").select(
+        F.col("arxiv_id").alias("conv_id"),
+        F.col("doc_id").alias("turn"),
+        F.when(asks, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
+        F.col("text").alias("content"),
+    )
+
+
+@query("recent_messages", f"WITH {MESSAGES_SQL} SELECT conv_id, turn, role, content FROM tail")
+def recent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.last_messages(_messages(spark, sf_dir))
+
+
+@query(
+    "conversation_text",
+    f"WITH {MESSAGES_SQL} SELECT conv_id, string_agg(role || ': ' || content, chr(10) ORDER BY turn) AS text FROM tail GROUP BY conv_id",
+)
+def conversation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.conversation_text(_messages(spark, sf_dir))
+
+
+@query("context_compress")
+def context_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.compressed(_messages(spark, sf_dir))
+
+
+def _kind_sql(q: str) -> str:
+    cases = "".join(
+        f" WHEN {' OR '.join(f'''contains(lower({q}), '{p}')''' for p in parts)} THEN '{name}'"
+        for name, parts in dialogue.KINDS.items()
+    )
+    return f"CASE{cases} ELSE 'general' END"
+
+
+@query("classify_query", f"SELECT doc_id, {_kind_sql('title')} AS kind FROM documents WHERE title IS NOT NULL")
+def classify_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "title").where("title is not null")
+    return docs.select("doc_id", dialogue.query_kind(F.col("title")).alias("kind"))
+
+
+@query(
+    "needs_rewrite",
+    f"""WITH {MESSAGES_SQL} SELECT conv_id, turn, len(list_intersect(
+      list_transform(regexp_split_to_array(lower(content), '{BLANK_SQL}'), lambda w: regexp_replace(w, '[^a-z]', '', 'g')),
+      {dialogue.PRONOUNS!r})) > 0 AS refers_back FROM msg""",
+)
+def needs_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _messages(spark, sf_dir).select(
+        "conv_id", "turn", dialogue.refers_back(F.col("content")).alias("refers_back")
+    )
+
+
+@query("rewrite_query")
+def rewrite_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user message with its first phrase that refers back replaced by the paper it is about."""
+    messages = _messages(spark, sf_dir).where("role = 'user'")
+    titles = corpus.papers(spark, sf_dir).select(F.col("id").alias("conv_id"), "title")
+    return messages.join(titles, "conv_id", "left").select(
+        "conv_id", "turn", dialogue.rewritten(F.col("content"), F.col("title")).alias("query")
+    )
+
+
+@query("acronym_entities")
+def acronym_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    found = dialogue.acronyms(F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", F.explode(found).alias("acronym"))
+
+
+# -- session store: a session is what is known of a paper's discussion ----------------
+
+STORE_SQL = """store AS (SELECT arxiv_id AS conversation_id, title AS data, strftime(added_at, '%Y-%m-%d') AS created_at,
+  strftime(added_at, '%Y-%m-%d') || ' ' || doc_id AS updated_at FROM documents WHERE arxiv_id IS NOT NULL),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY updated_at DESC, data DESC NULLS LAST) AS r FROM store) WHERE r = 1)"""
+
+
+def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format("added_at", "yyyy-MM-dd")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "arxiv_id", "title", "added_at")
+    return docs.where("arxiv_id is not null").select(
+        F.col("arxiv_id").alias("conversation_id"),
+        F.col("title").alias("data"),
+        day.alias("created_at"),
+        F.concat_ws(" ", day, F.col("doc_id").cast("string")).alias("updated_at"),
+    )
+
+
+_SESSION = "conversation_id, data, created_at, updated_at"
+
+
+@query("session_latest", f"WITH {STORE_SQL} SELECT {_SESSION} FROM latest")
+def session_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.newest(_store(spark, sf_dir))
+
+
+@query("session_list", f"WITH {STORE_SQL} SELECT {_SESSION} FROM latest ORDER BY updated_at DESC, conversation_id LIMIT 50")
+def session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.listed(_store(spark, sf_dir))
+
+
+@query(
+    "session_delete",
+    f"WITH {STORE_SQL} SELECT {_SESSION} FROM store ANTI JOIN (SELECT arxiv_id FROM reading_list) d ON d.arxiv_id = conversation_id",
+)
+def session_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = read_table(spark, sf_dir, "reading_list", "arxiv_id").withColumnRenamed("arxiv_id", "conversation_id")
+    return sessions.deleted(_store(spark, sf_dir), gone)
+
+
+# -- streaming --------------------------------------------------------------------
+
+@query("citation_stream")
+def citation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations per paper and 30 days from the table read as a stream of files, run to its end."""
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4()}"
+    source = f"{sf_dir}/citations.parquet"
+    schema = spark.read.parquet(source).schema
+    rows = stream.counted_by_window(stream.citation_stream(spark, f"{source}*", schema))
+    out = rows.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
+    out.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/out")
+
+
 FLAGSHIP = "bm25_topk"
