@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigraph.operators import dense, fusion, graph, graph_retrieval, lexical
 from lexigraph.plans import corpus
-from lexigraph.session import cut
+from lexigraph.session import cut, settled
 from lexigraph.sources.tables import read_table
 
 METHODS = ["dense", "sparse", "hybrid", "hybrid_graph"]
@@ -22,7 +22,7 @@ class Engine:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, candidates: int = 100, graph_candidates: int = 33):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = settled(spark), sf_dir
         self.candidates, self.graph_candidates = candidates, graph_candidates
 
     @cached_property
@@ -94,8 +94,6 @@ class Engine:
 
     def related(self, seeds: DataFrame) -> DataFrame:
         """(qid, source, rank, key, arxiv_id): expansion, walk and community lists one after the other."""
-        from pyspark.sql import Window
-
         k, edges = self.graph_candidates, self.graph[1]
         lists = [
             graph_retrieval.expansion(seeds, edges, k),

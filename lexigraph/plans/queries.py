@@ -25,7 +25,7 @@ from lexigraph.operators import (
 )
 from lexigraph.plans import corpus
 from lexigraph.plans.engine import METHODS, Engine
-from lexigraph.session import cut, ensure_checkpoint_dir
+from lexigraph.session import cut, ensure_checkpoint_dir, settled
 from lexigraph.sources import sessions
 from lexigraph.sources.tables import read_table
 from lexigraph.streaming import citations as stream
@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None):
     """Register a query and, where SQL can say the same, its comparison SQL."""
 
     def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
+        QUERIES[name] = lambda spark, sf_dir: f(settled(spark), sf_dir)
         if sql:
             ORACLES[name] = sql
         return f
@@ -861,8 +861,8 @@ res AS MATERIALIZED (
   SELECT source AS method, qid, rank, arxiv_id AS item FROM text_lists WHERE rank <= 20
   UNION ALL SELECT 'hybrid', qid, rank, arxiv_id FROM fu WHERE rank <= 20
   UNION ALL SELECT 'hybrid_graph', qid, rank, arxiv_id FROM sc WHERE rank <= 20),
-n AS (SELECT qid, count(*) AS n FROM rel GROUP BY qid),
-hits AS (SELECT res.*, n, (rel.item IS NOT NULL)::int AS hit FROM res JOIN n USING (qid) LEFT JOIN rel ON rel.qid = res.qid AND rel.item = res.item),
+rel_n AS (SELECT qid, count(*) AS n FROM rel GROUP BY qid),
+hits AS (SELECT res.*, n, (rel.item IS NOT NULL)::int AS hit FROM res JOIN rel_n USING (qid) LEFT JOIN rel ON rel.qid = res.qid AND rel.item = res.item),
 nth AS (SELECT *, sum(hit) OVER (PARTITION BY method, qid ORDER BY rank) AS nth FROM hits),
 agg AS (SELECT method, qid, max(n) AS n, sum(hit) FILTER (rank <= 1) AS h1, sum(hit) FILTER (rank <= 5) AS h5, sum(hit) FILTER (rank <= 10) AS h10,
   sum(hit) FILTER (rank <= 20) AS h20, min(rank) FILTER (hit = 1) AS first, sum(hit / log2(rank + 1)) FILTER (rank <= 10) AS dcg,
@@ -1025,7 +1025,13 @@ def session_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- streaming --------------------------------------------------------------------
 
-@query("citation_stream")
+@query(
+    "citation_stream",
+    """WITH e AS (SELECT DISTINCT parsed_at, arxiv_id AS src, regexp_replace(trim(c), 'v[0-9]+$', '') AS dst FROM (
+      SELECT parsed_at, arxiv_id, unnest(cited_arxiv_ids) AS c FROM citations))
+    SELECT time_bucket(INTERVAL 30 DAYS, parsed_at, TIMESTAMP '1970-01-01') AS window_start, dst, count(*) AS citations
+    FROM e WHERE parsed_at IS NOT NULL AND src IS NOT NULL AND dst <> '' AND src <> dst GROUP BY ALL""",
+)
 def citation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations per paper and 30 days from the table read as a stream of files, run to its end."""
     ensure_checkpoint_dir(spark)
@@ -1033,7 +1039,11 @@ def citation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = f"{sf_dir}/citations.parquet"
     schema = spark.read.parquet(source).schema
     rows = stream.counted_by_window(stream.citation_stream(spark, f"{source}*", schema))
-    out = rows.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    out = rows.writeStream.outputMode("complete").foreachBatch(keep)
     out.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{base}/out")
 
