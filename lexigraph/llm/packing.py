@@ -27,7 +27,7 @@ class _Stock:
         self.capacity = capacity
         order = np.argsort(lengths, kind="stable")
         values, starts = np.unique(lengths[order], return_index=True)
-        ends = [*starts[1:].tolist(), len(order)]
+        ends = [*starts.tolist(), len(order)][1:]
         self.items = {
             v: order[a:b].tolist()
             for v, a, b in zip(values.tolist(), starts.tolist(), ends, strict=True)
