@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexigraph.llm import linkage, lookalike, mixing, nearest, packing, quality, scans, tokens
+from lexigraph.session import settled
 from lexigraph.sources.tables import read_table
 
 
@@ -103,7 +104,7 @@ def p8_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.normalized_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+_ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_scored": p1_scored,
     "p2_found": p2_found,
@@ -120,4 +121,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_normalized": p8_normalized,
 }
 
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    name: (lambda spark, sf_dir, f=f: f(settled(spark), sf_dir)) for name, f in _ALL.items()
+}
+
+ORACLES: dict[str, str] = {
+    "p5_found": """
+    WITH one AS (
+      SELECT chunk_id, list_transform(any_value(embedding), lambda x: x::double) AS e FROM vector_index
+      WHERE chunk_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL)) = 64
+      GROUP BY chunk_id),
+    v AS (SELECT chunk_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS v FROM one WHERE list_dot_product(e, e) > 0),
+    n AS (
+      SELECT a, b, c FROM (
+        SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY round(c, 6) DESC, b) AS r FROM (
+          SELECT x.chunk_id AS a, y.chunk_id AS b, list_dot_product(x.v, y.v) AS c FROM v x, v y WHERE x.chunk_id <> y.chunk_id))
+      WHERE r <= 5 AND c >= 0.9)
+    SELECT n.a AS chunk_id_a, n.b AS chunk_id_b FROM n JOIN n m ON m.a = n.b AND m.b = n.a WHERE n.a < n.b""",
+}
