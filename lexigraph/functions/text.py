@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: what counts as blank between words (Unicode blanks and separators).
-BLANK = r"[\s\x1c-\x1f\x85\xa0  -     　]+"
+BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def words(text: Column) -> Column:
