@@ -35,7 +35,7 @@ a - а   c ϲ с   d - ԁ   e - е   h - һ   i - і   j ϳ ј   l - ӏ   o ο 
 q - ԛ   s - ѕ   v ν ѵ   w - ԝ   x - х   y - у
 """
 # Hyphens that look like the ASCII one.
-HYPHENS = "‐‑⁃﹣－"
+HYPHENS = "\u2010\u2011\u2043\ufe63\uff0d"
 # Line breaks other than the line feed.
 BREAKS = "\r\n|[\r\x0b\x0c\x85\u2028\u2029]"
 
@@ -52,17 +52,17 @@ SPELLINGS = {
     for letter in triple
     if letter != "-"
 }
-_LETTERS = "A-Za-zª-ɏɐ-ʯ̀-ϿЀ-ԯḀ-῿"
+_LETTERS = "A-Za-z\u00aa-\u024f\u0250-\u02af\u0300-\u03ff\u0400-\u052f\u1e00-\u1fff"
 _TOKEN = re.compile(f"[{_LETTERS}]+")
 _RARE = re.compile(f"[{RARE}]")
-_OTHER_SCRIPT = re.compile("[Ͱ-ϿЀ-ԯἀ-῿]")
+_OTHER_SCRIPT = re.compile("[\u0370-\u03ff\u0400-\u052f\u1f00-\u1fff]")
 #: Characters whose text is in its final form already (no look-alikes, no marks to compose).
 _SAFE = re.compile(
-    "[\n -~¡-¬®-ıĴ-ǃǍ-ǰǴ-ɏ‒-‟、-〃ぁ-ゖァ-ヺー一-鿿]*"
+    "[\n -~\u00a1-\u00ac\u00ae-\u0131\u0134-\u01c3\u01cd-\u01f0\u01f4-\u024f\u2012-\u201f\u3001-\u3003\u3041-\u3096\u30a1-\u30fa\u30fc\u4e00-\u9fff]*"
 )
-_JOINING = "؀-ࣿऀ-෿຀-႟ក-៿᠀-᢯☀-➿ﭐ-﷿ﹰ-﻿\U0001f000-\U0001faff"
+_JOINING = "\u0600-\u08ff\u0900-\u0dff\u0e80-\u109f\u1780-\u17ff\u1800-\u18af\u2600-\u27bf\ufb50-\ufdff\ufe70-\ufeff\U0001f000-\U0001faff"
 #: Joiners count as invisible unless they shape the letters (or pictures) on both sides.
-_JOINERS = re.compile(f"(?<![{_JOINING}️])[‌‍]+|[‌‍]+(?![{_JOINING}])")
+_JOINERS = re.compile(f"(?<![{_JOINING}\ufe0f])[\u200c\u200d]+|[\u200c\u200d]+(?![{_JOINING}])")
 
 
 def _folded(code: int) -> str | None:

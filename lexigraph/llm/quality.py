@@ -41,7 +41,7 @@ _ITEM = re.compile(r"\s*(?:[-*•▪◦‣·–—+>|]\s|o\s|\(?[0-9ivxlc]{1,4}[
 _END = re.compile(r"[.!?。！？]+[\"'”’»)\]]*(?=\s|$)|[。！？]")
 _SYMBOL = re.compile(r"[^\w\s.,;:!?()'\"\-’‘“”«»„–…、。「」％%&¿¡]|_")
 _DIGIT = re.compile(r"\d")
-_STRANGE = re.compile(r"[�ÃÂ¤¬þ]|[€-]")
+_STRANGE = re.compile("[\ufffdÃÂ¤¬þ]|[\x80-\x9f]")
 
 #: Words further than this from a common word are not in running text.
 REACH = 7
