@@ -33,7 +33,7 @@ def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
 def paragraphs(text: Column, delimiter: str = r"\n\s*\n") -> Column:
     """Paragraphs of at least ten words; the whole text if there are none."""
     parts = F.filter(
-        F.transform(F.split(text, delimiter), F.trim), lambda p: word_count(p) >= PARAGRAPH_LEAST
+        F.transform(F.split(text, delimiter), lambda x: F.trim(x)), lambda p: word_count(p) >= PARAGRAPH_LEAST
     )
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
 

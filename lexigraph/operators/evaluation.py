@@ -78,7 +78,7 @@ def _share_in(keywords: Column, text: Column) -> Column:
 def faithfulness(answer: Column, context: Column) -> Column:
     """Share of an answer's sentences with over .3 of their words in the context; 0 without any."""
     sentences = F.filter(
-        F.transform(F.split(answer, r"\."), F.trim), lambda s: F.length(s) > 10
+        F.transform(F.split(answer, r"\."), lambda s: F.trim(s)), lambda s: F.length(s) > 10
     )
     supported = F.filter(
         sentences,

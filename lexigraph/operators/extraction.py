@@ -35,7 +35,7 @@ def title_of(text: Column) -> Column:
     """The first of 20 lines with more than 15 characters and no arXiv stamp."""
     lines = F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 20)
     good = F.filter(
-        F.transform(lines, F.trim),
+        F.transform(lines, lambda x: F.trim(x)),
         lambda x: (F.length(x) > 15) & ~F.lower(x).startswith("arxiv"),
     )
     return F.coalesce(F.get(good, F.lit(0)), F.lit(MISSING_TITLE))

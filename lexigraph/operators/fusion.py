@@ -72,7 +72,7 @@ def recent(score: Column, published: Column, this_year: int) -> Column:
     """Nine tenths of a score and a tenth of how recent; the score alone without a year."""
     year = F.try_to_number(F.substring(published, 1, 4), F.lit("9999")).cast("int")
     fresh = F.greatest(F.lit(0.0), 1 - SLOPE * (this_year - year))
-    return F.coalesce((1 - RECENCY) * score + RECENCY * fresh, score)
+    return F.when(year.isNotNull(), (1 - RECENCY) * score + RECENCY * fresh).otherwise(score)
 
 
 def first_seen(results: DataFrame, key: str = "arxiv_id") -> DataFrame:
