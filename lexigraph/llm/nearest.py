@@ -8,7 +8,7 @@ the windows grow by virtual rehashing (the same arrays, a wider interval) and
 the counting is repeated for the queries still open.
 
 Spark spreads the work by cells. About 4 sqrt(n) pivots are fitted on a sample
-of 32 rows a pivot, and neighbouring pivots form a cell, 8 on average. A vector
+of 32 rows a pivot (SAMPLE_ROWS at most), and neighbouring pivots form a cell, 8 on average. A vector
 is kept in the cell of its nearest pivot, and asks the one or two cells that
 hold its `probes` nearest pivots; each cell has its own sorted arrays. Every
 row is indexed, and the pivots as well as the cells grow as sqrt(n). Equal vectors are one entry, known by a 64-bit hash of their
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 DIM = 64
 PIVOT_ROWS = 32
+#: The most rows of a sample (64 MB of vectors); with it fewer rows a pivot are left.
+SAMPLE_ROWS = 1 << 18
 PIVOTS_A_CELL = 8
 PROJECTIONS = 24
 #: Windows in which a vector must lie to be verified.
@@ -153,7 +155,7 @@ def neighbour_classes(vectors: DataFrame, k: int, probes: int = 5) -> DataFrame:
     spark = vectors.sparkSession
     n = vectors.count()
     count = max(1, round(4 * math.sqrt(n)))
-    share = min(1.0, PIVOT_ROWS * count / max(n, 1))
+    share = min(1.0, min(PIVOT_ROWS * count, SAMPLE_ROWS) / max(n, 1))
     picked = (
         vectors.where(F.pmod(F.xxhash64(F.lit(5), "vkey"), F.lit(1 << 30)) <= int(share * (1 << 30)))
         .select("vkey", "embedding")
