@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigraph.operators.graph import both_ways
+from lexigraph.session import cut
 
 # Scores of cited, citing and second-hop papers; how many cited papers are followed.
 CITED, CITING, SECOND = 0.8, 0.7, 0.4
@@ -76,14 +77,14 @@ def expected_walk(seeds: DataFrame, edges: DataFrame, k: int = 33, steps: int =
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     links = edges.unionByName(back)
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    moves = links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).join(out, "src").select(
-        "src", "dst", (F.col("m") / F.col("out")).alias("p")
-    )
+    counted = links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).join(out, "src")
+    moves = cut(counted.select("src", "dst", (F.col("m") / F.col("out")).alias("p")))
     s = seeds.select("qid", "id").distinct()
     at = s.withColumn("mass", 1 / F.count(F.lit(1)).over(Window.partitionBy("qid")))
     visits = None
     for i in range(steps):
-        at = (
+        # written, as it is both a step's result and the start of the next one
+        at = cut(
             at.join(moves, at.id == moves.src)
             .groupBy("qid", F.col("dst").alias("id"))
             .agg(F.sum(F.col("mass") * F.col("p")).alias("mass"))

@@ -79,13 +79,17 @@ class Engine:
         found = dense.nearest(queries.select("qid", "vec"), self.vectors, "chunk_id", k)
         return self._text_list(found, "dense")
 
-    def sparse(self, queries: DataFrame, k: int) -> DataFrame:
-        """(qid, source, rank, key, arxiv_id) by BM25 over title, section and text."""
+    @cached_property
+    def lexical(self) -> tuple[DataFrame, DataFrame]:
+        """Postings and size of the chunks' titles, sections and texts."""
         parts = [F.coalesce(c, F.lit("")) for c in ("title", "section_name", "text")]
         docs = self.chunks.select("chunk_id", F.concat_ws(" ", *parts).alias("text"))
         posts = lexical.postings(docs, "chunk_id", F.col("text"))
-        size = lexical.corpus_size(docs, F.col("text"))
-        found = lexical.ranked(queries.select("qid", "query"), posts, size, "chunk_id", k)
+        return cut(posts), cut(lexical.corpus_size(docs, F.col("text")))
+
+    def sparse(self, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, source, rank, key, arxiv_id) by BM25 over title, section and text."""
+        found = lexical.ranked(queries.select("qid", "query"), *self.lexical, "chunk_id", k)
         return self._text_list(found, "sparse")
 
     def _text_list(self, found: DataFrame, source: str) -> DataFrame:

@@ -150,7 +150,8 @@ def _doc_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _doc_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return lexical.postings(docs, "doc_id", F.col("text")), lexical.corpus_size(docs, F.col("text"))
+    posts = cut(lexical.postings(docs, "doc_id", F.col("text")))
+    return posts, cut(lexical.corpus_size(docs, F.col("text")))
 
 
 @query(
