@@ -42,6 +42,9 @@ BREAKS = "\r\n|[\r\x0b\x0c\x85\u2028\u2029]"
 # Look-alikes that hardly any text in their script needs.
 RARE = "ѵѴѕЅӏԛԚԝԜԁһҮјЈϲϳ"
 
+# Parts of the texts of one spelling, one per bit of a bigint.
+SALTS = 64
+
 LATIN, GREEK, CYRILLIC = 0, 1, 2
 _cells = SHAPES.split()
 _TRIPLES = [_cells[i : i + 3] for i in range(0, len(_cells), 3)]
@@ -197,28 +200,46 @@ def same_reading_pairs(documents: DataFrame) -> DataFrame:
     Null texts are in no pair. Byte-identical texts make no pair with each
     other, but each of them pairs with every other spelling of its text.
 
-    Only digests are shuffled. A class all of whose texts are byte-identical
-    drops out by a minimum and a maximum, which are combined before the
-    shuffle, so a huge class of plain copies never meets in one task.
+    Only digests are shuffled. Unequal spellings of a form are paired first, each
+    spelling one row however many texts have it. The texts of a spelling are
+    spread over SALTS parts by a hash of their doc_id; a pair of spellings is
+    repeated for the parts that have texts, and the texts of two parts meet. So
+    only pairs that are returned are ever made, and those of a huge class of
+    copies and one variant are made in many tasks.
     """
     keys = cut(
-        documents.where("text is not null").select(
+        documents.where("text is not null and doc_id is not null").select(
             "doc_id",
             F.sha2(consistent_text(F.col("text")), 256).alias("form"),
             F.sha2("text", 256).alias("stored"),
+            F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("part"),
         )
     )
-    mixed = (
-        keys.groupBy("form")
-        .agg(F.min("stored").alias("lo"), F.max("stored").alias("hi"))
-        .where("lo <> hi")
-        .select("form")
+    spellings = keys.groupBy("form", "stored").agg(F.expr("bit_or(shiftleft(1L, part))").alias("parts"))
+    a = spellings.select("form", F.col("stored").alias("stored_a"), F.col("parts").alias("parts_a"))
+    b = spellings.select("form", F.col("stored").alias("stored_b"), F.col("parts").alias("parts_b"))
+
+    def taken(parts: str) -> Column:
+        every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+        return F.explode(F.filter(every, lambda i: F.call_function("getbit", F.col(parts), i) == 1))
+
+    cells = cut(
+        a.join(b, "form")
+        .where("stored_a < stored_b")
+        .select("stored_a", "stored_b", "parts_b", taken("parts_a").alias("part_a"))
+        .select("stored_a", "part_a", "stored_b", taken("parts_b").alias("part_b"))
     )
-    members = keys.join(mixed, "form", "left_semi")
-    a = members.select("form", F.col("doc_id").alias("doc_id_a"), F.col("stored").alias("stored_a"))
-    b = members.select("form", F.col("doc_id").alias("doc_id_b"), F.col("stored").alias("stored_b"))
+
+    def texts(side: str) -> DataFrame:
+        names = [F.col(x).alias(f"{x}_{side}") for x in ("stored", "part", "doc_id")]
+        return cells.join(keys.select(*names), [f"stored_{side}", f"part_{side}"])
+
     return (
-        a.join(b, "form")
-        .where("doc_id_a < doc_id_b and stored_a <> stored_b")
-        .select("doc_id_a", "doc_id_b")
+        texts("a")
+        .join(texts("b"), ["stored_a", "part_a", "stored_b", "part_b"])
+        .where("doc_id_a <> doc_id_b")
+        .select(
+            F.least("doc_id_a", "doc_id_b").alias("doc_id_a"),
+            F.greatest("doc_id_a", "doc_id_b").alias("doc_id_b"),
+        )
     )

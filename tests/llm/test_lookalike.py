@@ -1,6 +1,9 @@
+from threading import Timer
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexigraph.llm import lookalike
 
@@ -57,3 +60,28 @@ def test_pairs(spark):
     assert lookalike.same_reading_pairs(df.limit(0)).count() == 0
     changed = {r.doc_id: r.changed for r in lookalike.normalized_documents(df).collect()}
     assert [k for k, v in sorted(changed.items()) if v] == [2, 8] and changed[5] is False
+
+
+def test_a_huge_class_of_copies_with_one_variant(spark):
+    n = 200_000
+    text = F.when(F.col("id") == 77, "of c\u043eurse").otherwise("of course")
+    pairs = lookalike.same_reading_pairs(spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text")))
+    # all pairs of the class would be 4e10
+    stop = Timer(60, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        got = pairs.agg(
+            F.count(F.lit(1)), F.countDistinct("doc_id_a", "doc_id_b"), F.expr("count_if((doc_id_a = 77 or doc_id_b = 77) and doc_id_a < doc_id_b)")
+        ).first()
+    finally:
+        stop.cancel()
+    assert tuple(got) == (n - 1, n - 1, n - 1)
+
+
+def test_several_copies_of_several_spellings(spark):
+    stored = {i: ["course", "c\u043eurse", "\u0441ourse", "other"][i % 4] for i in range(400)}
+    df = spark.createDataFrame(list(stored.items()), "doc_id bigint, text string")
+    got = [tuple(r) for r in lookalike.same_reading_pairs(df).collect()]
+    ids = [i for i in stored if i % 4 != 3]
+    assert len(got) == len(set(got))
+    assert set(got) == {(a, b) for a in ids for b in ids if a < b and stored[a] != stored[b]}
