@@ -324,8 +324,9 @@ def in_context(
     found has (document, line_no, word, before, after). Where a word has several
     options, the option that more often stands next to the same neighbours in
     papers without signs of scanning wins, then the one with fewest changes,
-    then the more frequent one. Neighbours are counted of frequent options only,
-    of which there are at most KNOWN_WORDS.
+    then the more frequent one. Neighbours of frequent options, of which there are
+    at most KNOWN_WORDS, are sifted out by a broadcast before they are counted;
+    those of the rest by a shuffle.
     """
     count = Window.partitionBy("word")
     options = options.withColumn("choices", F.count(F.lit(1)).over(count))
@@ -352,14 +353,22 @@ def in_context(
     ).select("p.*")
     first = rights.select(F.col("word").alias("before"), F.lit(True).alias("_first"))
     second = rights.select(F.col("word").alias("after"), F.lit(True).alias("_second"))
-    seen = (
-        pairs.join(F.broadcast(first), "before", "left")
-        .join(F.broadcast(second), "after", "left")
-        .where("after is not null and (_first or _second)")
-        .groupBy("before", "after")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(wanted, ["before", "after"], "left_semi")
-    )
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(first), "before", "left").join(F.broadcast(second), "after", "left")
+
+    def counted(some: DataFrame, asked_for: DataFrame) -> DataFrame:
+        return (
+            some.where("after is not null")
+            .groupBy("before", "after")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .join(asked_for, ["before", "after"], "left_semi")
+        )
+
+    seen = counted(marked(pairs).where("_first or _second"), wanted)
+    rest = cut(marked(wanted).where("_first is null and _second is null").select("before", "after"))
+    if not rest.isEmpty():
+        seen = seen.unionByName(counted(pairs, rest))
     left = seen.select("before", F.col("after").alias("right"), F.col("n").alias("n_before"))
     right = seen.select(F.col("before").alias("right"), "after", F.col("n").alias("n_after"))
     key = [*_DOCUMENT, "line_no", "word", "before", "after"]

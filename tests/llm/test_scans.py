@@ -66,3 +66,14 @@ def test_confusable_words_share_a_skeleton(spark, misread, right):
     df = spark.createDataFrame([(misread, right)], "a string, b string")
     both = df.select(F.arrays_overlap(scans.skeletons(F.col("a")), scans.skeletons(F.col("b"))).alias("x"))
     assert both.first().x
+
+
+def test_context_counts_for_options_that_are_not_frequent(spark):
+    extracted = frame(spark)
+    columns = ", ".join(f"{c} {'int' if c == 'section_no' else 'string'}" for c in scans._DOCUMENT)
+    at = tuple(0 if c == "section_no" else "s" for c in scans._DOCUMENT)
+    found = spark.createDataFrame([(*at, 1, "stagc", "second", "is")], f"{columns}, line_no int, word string, before string, after string")
+    options = spark.createDataFrame([("stagc", "stage", 5), ("stagc", "stags", 100)], "word string, right string, support bigint")
+    for frequent in (["stage", "stags"], ["stags"], []):
+        known = spark.createDataFrame([(w,) for w in frequent], "word string")
+        assert [r.right for r in scans.in_context(found, options, known, extracted).collect()] == ["stage"]
