@@ -62,8 +62,31 @@ def test_few_and_no_vectors(spark):
 def test_cell_search_finds_what_is_there():
     data = vectors(4, 300)
     unit = nearest._unit(data)
-    ids, cosines = nearest.search_cell(unit, np.arange(300), unit, np.arange(300), 5)
+    ids, cosines, _ = nearest.search_cell(unit, np.arange(300), unit, np.arange(300), 5)
     truth = unit @ unit.T
     np.fill_diagonal(truth, -2)
     best = np.sort(truth, axis=1)[:, -5:].sum()
     assert (ids >= 0).all() and cosines.sum() >= 0.98 * best
+
+
+def test_few_pairs_are_verified():
+    data = vectors(5, 3000)
+    unit = nearest._unit(data)
+    keys = np.arange(3000)
+    ids, _, verified = nearest.search_cell(unit[:400], keys[:400], unit, keys, 5)
+    scores = unit[:400] @ unit.T
+    scores[keys[:400], keys[:400]] = -2
+    truth = np.argsort(-scores, axis=1)[:, :5]
+    hits = sum(len(set(a) & set(b)) for a, b in zip(ids.tolist(), truth.tolist(), strict=True))
+    assert hits >= 0.9 * truth.size
+    assert verified < 0.15 * 400 * 3000
+
+
+def test_bits_are_counted_like_numbers():
+    rng = np.random.default_rng(6)
+    bits = rng.integers(0, 2, (64, 5, 128)).astype(np.uint8)
+    sets = [np.packbits(x, axis=1, bitorder="little").view(np.uint64) for x in bits]
+    planes = nearest._counted([x.copy() for x in sets])
+    for least in (1, 31, 40, 64):
+        got = np.unpackbits(nearest._at_least(planes, least).view(np.uint8), axis=1, bitorder="little")
+        assert (got == (bits.sum(axis=0) >= least)).all()
