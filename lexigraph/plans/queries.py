@@ -907,25 +907,46 @@ def ablation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- conversations: the documents on one paper, in the order of their arrival --------
 
-MESSAGES_SQL = """msg AS (SELECT arxiv_id AS conv_id, doc_id AS turn, CASE WHEN lower(trim(source)) IN ('forum', 'qa_pairs') THEN 'user' ELSE 'assistant' END AS role,
-  text AS content FROM documents WHERE arxiv_id IS NOT NULL AND text IS NOT NULL),
+MESSAGES_SQL = r"""msg AS MATERIALIZED (SELECT *, CASE WHEN role = 'assistant' THEN list_concat([conv_id], list_filter(ids, lambda x: x <> conv_id)) END AS arxiv_ids FROM (
+  SELECT arxiv_id AS conv_id, doc_id AS turn, CASE WHEN lower(trim(source)) IN ('forum', 'qa_pairs') THEN 'user' ELSE 'assistant' END AS role,
+    text AS content, regexp_extract_all(text, '\d{4}\.\d{4,5}') AS ids FROM documents WHERE arxiv_id IS NOT NULL AND text IS NOT NULL)),
 tail AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM msg) WHERE r <= 10)"""
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages; those of the assistant list their paper and the papers they name."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "arxiv_id", "source", "text")
     asks = F.coalesce(F.lower(F.trim("source")).isin("forum", "qa_pairs"), F.lit(False))
+    ids = F.regexp_extract_all("text", F.lit(r"(\d{4}\.\d{4,5})"))
     return docs.where("arxiv_id is not null and text is not null").select(
         F.col("arxiv_id").alias("conv_id"),
         F.col("doc_id").alias("turn"),
         F.when(asks, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
         F.col("text").alias("content"),
+        F.when(~asks, F.concat(F.array("arxiv_id"), F.filter(ids, lambda x: x != F.col("arxiv_id")))).alias("arxiv_ids"),
     )
 
 
+TITLES_SQL = """titles AS MATERIALIZED (
+  SELECT arxiv_id AS id, arg_max(trim(title), (own, updated, title, published)) AS title FROM (
+    SELECT arxiv_id, title, published, updated, 1 AS own FROM papers
+    UNION ALL SELECT arxiv_id, title, published, '', 0 FROM reading_list) WHERE arxiv_id IS NOT NULL GROUP BY arxiv_id)"""
+ENTITIES_SQL = f"""{TITLES_SQL},
+ent AS MATERIALIZED (SELECT id AS conv_id, 0 AS ord, regexp_extract(title, '^[^\\s:]+') AS short, title AS "full" FROM titles
+  WHERE title IS NOT NULL AND regexp_extract(title, '^[^\\s:]+') <> '')"""
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of a conversation's paper: its title under its first word."""
+    short = F.regexp_extract("title", r"^[^\s:]+", 0)
+    return corpus.papers(spark, sf_dir).where("title is not null").select(
+        F.col("id").alias("conv_id"), F.lit(0).alias("ord"), short.alias("short"), F.col("title").alias("full")
+    ).where("short <> ''")
+
+
 @query("recent_messages", f"WITH {MESSAGES_SQL} SELECT conv_id, turn, role, content FROM tail")
 def recent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dialogue.last_messages(_messages(spark, sf_dir))
+    return dialogue.last_messages(_messages(spark, sf_dir)).drop("arxiv_ids")
 
 
 @query(
@@ -936,52 +957,169 @@ def conversation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.conversation_text(_messages(spark, sf_dir))
 
 
-@query("context_compress")
-def context_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dialogue.compressed(_messages(spark, sf_dir))
+DISCUSSED_SQL = """named AS (SELECT conv_id, turn, generate_subscripts(arxiv_ids, 1) AS pos, unnest(arxiv_ids) AS arxiv_id FROM msg WHERE arxiv_ids IS NOT NULL),
+first_named AS (SELECT conv_id, arxiv_id, min(turn * 100000 + pos) AS first_at FROM named GROUP BY ALL),
+discussed AS (SELECT conv_id, arxiv_id, row_number() OVER (PARTITION BY conv_id ORDER BY first_at) AS place FROM first_named)"""
+
+
+@query("papers_discussed", f"WITH {MESSAGES_SQL}, {DISCUSSED_SQL} SELECT conv_id, place, arxiv_id FROM discussed")
+def papers_discussed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.papers_discussed(_messages(spark, sf_dir))
 
 
-def _kind_sql(q: str) -> str:
-    cases = "".join(
-        f" WHEN {' OR '.join(f'''contains(lower({q}), '{p}')''' for p in parts)} THEN '{name}'"
-        for name, parts in dialogue.KINDS.items()
+@query(
+    "recent_topics",
+    f"""WITH {MESSAGES_SQL}, w AS (SELECT conv_id, unnest(CASE WHEN role = 'user' THEN regexp_split_to_array(content, '{BLANK_SQL}') ELSE [] END) AS w FROM tail WHERE r <= 4)
+    SELECT c.conv_id, coalesce(t, []) AS topics FROM (SELECT DISTINCT conv_id FROM msg) c LEFT JOIN (
+      SELECT conv_id, list_slice(list_sort(list_distinct(list(w))), 1, 5) AS t FROM w WHERE length(w) > 4 AND regexp_matches(w, '^\\p{{Lu}}') GROUP BY conv_id) USING (conv_id)""",
+)
+def recent_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.recent_topics(_messages(spark, sf_dir))
+
+
+@query(
+    "retrieval_context",
+    f"""WITH {MESSAGES_SQL}, {ENTITIES_SQL} SELECT conv_id, content AS query, coalesce(short, '') AS short, coalesce("full", '') AS "full"
+    FROM tail LEFT JOIN ent USING (conv_id) WHERE r = 1""",
+)
+def retrieval_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current query with what is known; the map of entities in two columns."""
+    found = dialogue.retrieval_context(_messages(spark, sf_dir), _entities(spark, sf_dir))
+    return found.select(
+        "conv_id",
+        "query",
+        F.coalesce(F.get(F.map_keys("entities"), F.lit(0)), F.lit("")).alias("short"),
+        F.coalesce(F.get(F.map_values("entities"), F.lit(0)), F.lit("")).alias("full"),
     )
-    return f"CASE{cases} ELSE 'general' END"
 
 
-@query("classify_query", f"SELECT doc_id, {_kind_sql('title')} AS kind FROM documents WHERE title IS NOT NULL")
+def _summary_sql(messages: str) -> str:
+    """CTEs that end in summ (conv_id, summary) of the messages named."""
+    return f"""
+    tp AS (SELECT m.conv_id, string_agg(DISTINCT "full", ', ') AS topics FROM {messages} m JOIN ent USING (conv_id) WHERE contains(lower(content), lower(short)) GROUP BY 1),
+    mid AS (SELECT conv_id, unnest(regexp_extract_all(content, '\\d{{4}}\\.\\d{{4,5}}')) AS arxiv_id FROM {messages}),
+    pd AS (SELECT conv_id, arxiv_id, row_number() OVER (PARTITION BY conv_id ORDER BY arxiv_id) AS r FROM (SELECT DISTINCT conv_id, arxiv_id FROM mid SEMI JOIN discussed USING (conv_id, arxiv_id))),
+    pp AS (SELECT conv_id, string_agg(arxiv_id, ', ' ORDER BY arxiv_id) AS papers FROM pd WHERE r <= 10 GROUP BY 1),
+    pt AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Q: ' || substring(content, 1, 150)
+      WHEN length(content) > 100 THEN 'A: ' || trim(string_split(content, '.')[1], ' ') END AS point FROM {messages}),
+    pr5 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM pt WHERE point IS NOT NULL),
+    pts AS (SELECT conv_id, string_agg('  - ' || point, chr(10) ORDER BY turn) AS points FROM pr5 WHERE r <= 5 GROUP BY 1),
+    summ AS (SELECT c.conv_id, concat_ws(chr(10), 'Topics discussed: ' || topics, 'Papers referenced: ' || papers, 'Key exchanges:' || chr(10) || points) AS summary
+      FROM (SELECT DISTINCT conv_id FROM {messages}) c LEFT JOIN tp USING (conv_id) LEFT JOIN pp USING (conv_id) LEFT JOIN pts USING (conv_id))"""
+
+
+@query("context_compress", f"WITH {MESSAGES_SQL}, {ENTITIES_SQL}, {DISCUSSED_SQL}, {_summary_sql('msg')} SELECT conv_id, summary FROM summ")
+def context_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = _messages(spark, sf_dir)
+    return dialogue.compressed(messages, _entities(spark, sf_dir), dialogue.papers_discussed(messages))
+
+
+@query(
+    "context_assembly",
+    f"""WITH {MESSAGES_SQL}, {ENTITIES_SQL}, {DISCUSSED_SQL},
+    num AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM msg),
+    old AS (SELECT * FROM num WHERE r > 5), {_summary_sql('old')},
+    rec AS (SELECT conv_id, string_agg(role || ': ' || content, chr(10) ORDER BY turn) AS recent FROM num WHERE r <= 5 GROUP BY 1)
+    SELECT conv_id, CASE WHEN summ.conv_id IS NULL THEN recent ELSE
+      CASE WHEN summary <> '' THEN '[Previous context summary]' || chr(10) || summary || chr(10) || chr(10) ELSE '' END
+      || '[Recent messages]' || chr(10) || recent || chr(10) END AS context FROM rec LEFT JOIN summ USING (conv_id)""",
+)
+def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = _messages(spark, sf_dir)
+    return dialogue.assembled_context(messages, _entities(spark, sf_dir), dialogue.papers_discussed(messages))
+
+
+KIND_SQL = """CASE
+  WHEN regexp_matches(q, 'compare|versus|vs|difference between|better') THEN 'comparative'
+  WHEN regexp_matches(q, 'survey|overview|recent advances|state of the art|review') THEN 'survey'
+  WHEN regexp_matches(q, 'papers by|author|wrote|published by') THEN 'author'
+  WHEN regexp_matches(q, 'when|timeline|history|evolution|trend') THEN 'temporal'
+  WHEN regexp_matches(q, 'citing|cited by|related papers|builds on|extends') THEN 'graph'
+  WHEN regexp_matches(q, 'what is|define|explain|how does|describe') THEN 'factual' ELSE 'general' END"""
+
+
+@query("classify_query", f"SELECT doc_id, {KIND_SQL} AS kind FROM (SELECT doc_id, lower(title) AS q FROM documents WHERE title IS NOT NULL)")
 def classify_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "title").where("title is not null")
     return docs.select("doc_id", dialogue.query_kind(F.col("title")).alias("kind"))
 
 
-@query(
-    "needs_rewrite",
-    f"""WITH {MESSAGES_SQL} SELECT conv_id, turn, len(list_intersect(
-      list_transform(regexp_split_to_array(lower(content), '{BLANK_SQL}'), lambda w: regexp_replace(w, '[^a-z]', '', 'g')),
-      {dialogue.PRONOUNS!r})) > 0 AS refers_back FROM msg""",
-)
+def _back_sql(content: str) -> str:
+    q = f"lower({content})"
+    return f"""(len(list_intersect(regexp_split_to_array({q}, '{BLANK_SQL}'), ['it', 'its', 'this', 'that', 'these', 'those', 'they', 'them', 'their', 'he', 'she', 'his', 'her'])) > 0
+      OR ((regexp_matches({q}, '\\b(the\\s+)?(paper|method|approach|model|system|technique|framework|algorithm)\\b')
+        OR regexp_matches({q}, '\\b(the\\s+)?(same|previous|above|mentioned|discussed)\\b') OR regexp_matches({q}, '\\b(it|its|this|that|these|those)\\b'))
+        AND NOT regexp_matches({q}, 'what is a|define|explain what'))
+      OR regexp_matches({q}, '^(give|show|list|provide|tell)\\s+(me\\s+)?(some|more|other|a few)?')
+      OR regexp_matches({q}, '\\b(more|examples|details|elaborate|expand|clarify|explain further)\\b')
+      OR regexp_matches({q}, '^(how|why|what)\\s+about\\b') OR regexp_matches({q}, '^(and|also|but|however|what about)\\b')
+      OR regexp_matches({q}, '^(can you|could you|please)\\s+(give|show|list|explain|elaborate)'))"""
+
+
+@query("needs_rewrite", f"WITH {MESSAGES_SQL} SELECT conv_id, turn, {_back_sql('content')} AS refers_back FROM msg")
 def needs_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _messages(spark, sf_dir).select(
         "conv_id", "turn", dialogue.refers_back(F.col("content")).alias("refers_back")
     )
 
 
-@query("rewrite_query")
+def _replaced_sql() -> str:
+    """The query with its first phrase replaced by the entity: by places, as RE2 knows no count."""
+    result = "query"
+    for phrase in ["the method", "the paper", "this paper", "this approach", "this method", "its", "it"]:
+        at = f"strpos(lower(query), '{phrase}')"
+        once = f"substring(query, 1, {at} - 1) || entity || substring(query, {at} + {len(phrase)})"
+        result = f"CASE WHEN {at} > 0 AND entity IS NOT NULL THEN {once} ELSE {result} END"
+    return result
+
+
+@query(
+    "rewrite_query",
+    f"""WITH {MESSAGES_SQL}, {ENTITIES_SQL},
+    six AS MATERIALIZED (SELECT * FROM tail WHERE r <= 6),
+    lp AS (SELECT conv_id, arg_min(arxiv_ids, r) AS papers FROM six WHERE arxiv_ids IS NOT NULL GROUP BY 1),
+    le AS (SELECT conv_id, arg_min("full", r) AS spoken FROM six JOIN ent USING (conv_id) WHERE r <= 4 AND role = 'assistant' AND contains(lower(content), lower(short)) GROUP BY 1),
+    lu AS (SELECT conv_id, list_filter(regexp_split_to_array(arg_min(content, r), '{BLANK_SQL}'), lambda w: length(w) > 3 AND regexp_matches(w, '^\\p{{Lu}}'))[1] AS capital
+      FROM six WHERE r <= 4 AND role = 'user' GROUP BY 1),
+    num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rr FROM msg),
+    tpc AS (SELECT conv_id, substring(arg_max(content, turn), 1, 150) AS topic FROM num WHERE rr > 1 AND role = 'user' GROUP BY 1),
+    cur AS (SELECT t.conv_id, content AS query, coalesce(spoken, capital) AS entity, papers, coalesce(topic, '') AS topic,
+      {_back_sql('content')} AND (SELECT count(*) FROM msg m WHERE m.conv_id = t.conv_id) >= 2 AS back
+      FROM tail t LEFT JOIN lp USING (conv_id) LEFT JOIN le USING (conv_id) LEFT JOIN lu USING (conv_id) LEFT JOIN tpc USING (conv_id) WHERE r = 1),
+    rp AS (SELECT *, {_replaced_sql()} AS q1 FROM cur),
+    rl AS (SELECT *, q1 || CASE WHEN contains(lower(q1), 'related') AND papers IS NOT NULL THEN ' (related to papers: ' || array_to_string(list_slice(papers, 1, 3), ', ') || ')' ELSE '' END AS q2 FROM rp)
+    SELECT conv_id, query, CASE WHEN NOT back THEN query WHEN q2 = query AND (entity IS NOT NULL OR papers IS NOT NULL) AND topic <> ''
+      THEN query || ' (regarding ' || topic || ')' ELSE q2 END AS rewritten FROM rl""",
+)
 def rewrite_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user message with its first phrase that refers back replaced by the paper it is about."""
-    messages = _messages(spark, sf_dir).where("role = 'user'")
-    titles = corpus.papers(spark, sf_dir).select(F.col("id").alias("conv_id"), "title")
-    return messages.join(titles, "conv_id", "left").select(
-        "conv_id", "turn", dialogue.rewritten(F.col("content"), F.col("title")).alias("query")
-    )
+    """The current query of every conversation, made to stand alone."""
+    return dialogue.rewritten_queries(_messages(spark, sf_dir), _entities(spark, sf_dir))
 
 
-@query("acronym_entities")
+@query(
+    "acronym_entities",
+    f"""WITH dq AS (SELECT doc_id AS qid, text AS query FROM documents WHERE regexp_matches(text, '\\b[A-Z]{{2,}}\\b')), {bm25_sql('documents', 'doc_id', 'dq', 5)},
+    ac AS (SELECT qid, unnest(list_distinct(regexp_extract_all(query, '\\b[A-Z]{{2,}}\\b'))) AS acronym FROM dq),
+    pat AS (SELECT qid, acronym, rank, text, '(?i)(' || acronym || ')\\s*[\\(\\[]([^)]+)[\\)\\]]|([^(]+)\\s*[\\(\\[](' || acronym || ')[\\)\\]]' AS p
+      FROM ac JOIN b_top USING (qid) JOIN documents d ON d.doc_id = b_top.doc_id WHERE contains(lower(text), lower(acronym))),
+    hit AS (SELECT qid, rank, regexp_extract(text, p, 1) AS a, regexp_extract(text, p, 2) AS b, regexp_extract(text, p, 3) AS c, regexp_extract(text, p, 4) AS d FROM pat),
+    said AS (SELECT qid, short, arg_max("full", rank) AS "full" FROM (
+      SELECT qid, rank, CASE WHEN a <> '' THEN a ELSE d END AS short, CASE WHEN a <> '' THEN b ELSE trim(c) END AS "full" FROM hit) WHERE short <> '' GROUP BY 1, 2),
+    wk AS (SELECT * FROM (VALUES ('DPR', 'Dense Passage Retrieval'), ('RAG', 'Retrieval-Augmented Generation'), ('BM25', 'BM25 (Best Match 25)'),
+      ('REALM', 'Retrieval-Augmented Language Model'), ('FiD', 'Fusion-in-Decoder'), ('HyDE', 'Hypothetical Document Embeddings'),
+      ('ColBERT', 'Contextualized Late Interaction over BERT'), ('RETRO', 'Retrieval Enhanced Transformer')) t(short, "full"))
+    SELECT qid, short, "full" FROM said UNION ALL
+    SELECT qid, wk.short, wk."full" FROM ac JOIN wk ON ac.acronym = wk.short ANTI JOIN said ON said.qid = ac.qid AND said.short = wk.short""",
+)
 def acronym_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meanings of the acronyms of every document that has some, from the five documents BM25 finds for its text."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    found = dialogue.acronyms(F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", F.explode(found).alias("acronym"))
+    asked = docs.where("text is not null").select(F.col("doc_id").alias("qid"), F.col("text").alias("query"))
+    asked = asked.where(F.size(dialogue.acronyms(F.col("query"))) > 0)
+    results = lexical.ranked(asked, *_doc_index(spark, sf_dir), "doc_id", 5).join(docs, "doc_id")
+    renamed = asked.withColumnRenamed("qid", "conv_id")
+    found = dialogue.extracted_entities(renamed, results.select(F.col("qid").alias("conv_id"), "rank", "text"))
+    return found.select(F.col("conv_id").alias("qid"), "short", "full")
 
 
 # -- session store: a session is what is known of a paper's discussion ----------------
