@@ -209,9 +209,11 @@ def extracted_entities(queries: DataFrame, results: DataFrame, k: int = 5) -> Da
     def part(i: int) -> Column:
         return F.expr(f"regexp_extract(text, {pattern}, {i})")
 
+    # the dear pattern runs on texts only that have the acronym beside or within brackets
+    near = F.expr("text rlike concat('(?i)', acronym, '\\\\s*[\\\\(\\\\[]|[\\\\(\\\\[]', acronym, '[\\\\)\\\\]]')")
     said = (
         asked.join(texts, "conv_id")
-        .where(F.lower("text").contains(F.lower("acronym")))
+        .where(near)
         .select(
             "conv_id",
             "ord",

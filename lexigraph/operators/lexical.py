@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigraph.functions.text import tokens
+from lexigraph.session import cut
 
 # Saturation, length normalisation and the floor of negative weights.
 K1 = 1.5
@@ -13,6 +14,8 @@ B = 0.75
 EPSILON = 0.25
 #: Digits to which scores are rounded before they are ranked, so that ties are ties.
 DIGITS = 9
+#: Terms of more than this share of the documents are looked up last, for documents that can still be among the best.
+COMMON = 0.05
 
 
 def postings(corpus: DataFrame, key: str, text: Column) -> DataFrame:
@@ -25,10 +28,12 @@ def postings(corpus: DataFrame, key: str, text: Column) -> DataFrame:
     )
 
 
-def corpus_size(corpus: DataFrame, text: Column) -> DataFrame:
-    """One row (n, avgdl) of all documents, empty ones included."""
-    return corpus.select(F.size(tokens(text)).alias("dl")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")
+def corpus_size(corpus: DataFrame, posts: DataFrame) -> DataFrame:
+    """One row (n, avgdl) of all documents, empty ones included; lengths come from the postings."""
+    n = corpus.agg(F.count(F.lit(1)).alias("n"))
+    total = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    return n.join(F.broadcast(total), how="cross").select(  # one row each
+        "n", F.try_divide("total", "n").alias("avgdl")
     )
 
 
@@ -44,30 +49,85 @@ def weights(posts: DataFrame, size: DataFrame) -> DataFrame:
     )
 
 
+def impacts(posts: DataFrame, size: DataFrame, key: str) -> DataFrame:
+    """(term, key, part): what a term adds to a document's score each time that a query has it."""
+    length = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + length)
+    joined = posts.join(weights(posts, size), "term").join(F.broadcast(size), how="cross")  # one row
+    return joined.select("term", key, part.alias("part"))
+
+
+def bounds(parts: DataFrame, size: DataFrame) -> DataFrame:
+    """(term, most, common): the largest part of each term; common tells the terms of over COMMON of all documents.
+
+    A term that lowers scores is never common.
+    """
+    found = parts.groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.max("part").alias("most"), F.min("part").alias("least")
+    )
+    common = (F.col("df") > COMMON * F.col("n")) & (F.col("least") >= 0)
+    return found.join(F.broadcast(size.select("n")), how="cross").select("term", "most", common.alias("common"))  # one row
+
+
 def ranked(
-    queries: DataFrame, posts: DataFrame, size: DataFrame, key: str, k: int, excluded: DataFrame | None = None
+    queries: DataFrame, parts: DataFrame, limits: DataFrame, key: str, k: int, excluded: DataFrame | None = None
 ) -> DataFrame:
     """(qid, key, rank, score, normalized): the k best documents with a positive score.
 
-    queries has (qid, query). Every query term counts as often as the query has
-    it. Ties go to the smaller key. excluded (qid, key) is taken out before the
-    cut, so that k results remain where there are as many. normalized divides
-    by the best score of the query.
+    queries has (qid, query), parts is of impacts, limits of bounds. Every query
+    term counts as often as the query has it. Ties go to the smaller key.
+    excluded (qid, key) is taken out before the cut, so that k results remain
+    where there are as many. normalized divides by the best score of the query.
+
+    Documents are first scored by the terms that are not common. The k-th of
+    these scores is a floor of the k-th score, so only documents that reach it
+    with all that common terms can add are scored in full, by (term, document).
+    A query whose common terms alone can reach the floor is scored by all its
+    terms. The result is that of scoring every document.
     """
     terms = queries.select("qid", F.explode(tokens(F.col("query"))).alias("term"))
-    wanted = terms.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    length = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + length)
-    of_terms = wanted.join(posts, "term").join(weights(posts, size), "term")
-    if excluded is not None:
-        of_terms = of_terms.join(excluded, ["qid", key], "left_anti")
-    scores = (
-        of_terms.join(F.broadcast(size), how="cross")  # one row
-        .groupBy("qid", key)
-        .agg(F.round(F.sum(F.col("times") * part), DIGITS).alias("score"))
-        .where("score > 0")
+    wanted = cut(terms.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times")).join(limits, "term"))
+    rest = wanted.groupBy("qid").agg(
+        F.coalesce(F.sum(F.when(F.col("common"), F.col("times") * F.col("most"))), F.lit(0.0)).alias("rest")
     )
+    gain = F.col("times") * F.col("part")
+
+    def scored(asked: DataFrame) -> DataFrame:
+        hits = asked.select("qid", "term", "times").join(parts, "term")
+        if excluded is not None:
+            hits = hits.join(excluded.select("qid", key), ["qid", key], "left_anti")
+        return hits.groupBy("qid", key).agg(F.sum(gain).alias("score"))
+
+    first = cut(scored(wanted.where("not common")))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), key)
-    best = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = first.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    floor = best.groupBy("qid").agg(F.min("score").alias("floor"), F.max("_r").alias("found"))
+    # a little below, as sums are taken in another order
+    open_ = rest.join(floor, "qid", "left").withColumn(
+        "floor", F.when(F.col("found") >= k, F.col("floor") - 1e-6 - F.abs("floor") * 1e-9)
+    )
+    settled = F.coalesce(F.col("floor") > F.col("rest"), F.lit(False))
+    open_ = cut(open_.select("qid", "rest", "floor", settled.alias("settled")))
+    hopeful = (
+        first.join(open_.where("settled"), "qid")
+        .where(F.col("score") + F.col("rest") >= F.col("floor"))
+        .select("qid", key, "score")
+    )
+    added = (
+        hopeful.select("qid", key)
+        .join(wanted.where("common").select("qid", "term", "times"), "qid")
+        .join(parts, ["term", key])
+        .groupBy("qid", key)
+        .agg(F.sum(gain).alias("more"))
+    )
+    by_parts = hopeful.join(added, ["qid", key], "left").select(
+        "qid", key, (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")
+    )
+    in_full = scored(wanted.join(open_.where("not settled").select("qid"), "qid", "left_semi"))
+    scores = by_parts.unionByName(in_full).withColumn("score", F.round("score", DIGITS)).where("score > 0")
     top = F.max("score").over(Window.partitionBy("qid"))
-    return best.select("qid", key, "rank", "score", (F.col("score") / top).alias("normalized"))
+    return (
+        scores.withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= k)
+        .select("qid", key, "rank", "score", (F.col("score") / top).alias("normalized"))
+    )

@@ -148,10 +148,16 @@ def _doc_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _doc_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _doc_postings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     posts = cut(lexical.postings(docs, "doc_id", F.col("text")))
-    return posts, cut(lexical.corpus_size(docs, F.col("text")))
+    return posts, cut(lexical.corpus_size(docs.select("doc_id"), posts))
+
+
+def _doc_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    posts, size = _doc_postings(spark, sf_dir)
+    parts = cut(lexical.impacts(posts, size, "doc_id"))
+    return parts, cut(lexical.bounds(parts, size))
 
 
 @query(
@@ -172,7 +178,7 @@ def tokenize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT term, df, round(idf, 6) AS idf FROM b_idf",
 )
 def bm25_vocab_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lexical.weights(*_doc_index(spark, sf_dir))
+    found = lexical.weights(*_doc_postings(spark, sf_dir))
     return found.withColumn("idf", F.round("idf", 6))
 
 
@@ -310,7 +316,36 @@ def extracted_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("extracted_abstracts")
+def _strip_sql(t: str) -> str:
+    return f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+
+
+LINES_SQL = f"""{EXTRACTED_SQL},
+l AS MATERIALIZED (SELECT arxiv_id, generate_subscripts(a, 1) AS pos, unnest(a) AS line
+  FROM (SELECT arxiv_id, string_split(full_text, chr(10)) AS a FROM x WHERE full_text IS NOT NULL))"""
+
+
+def _abstract_sql(pattern: str) -> str:
+    flat = _strip_sql(f"regexp_replace(regexp_extract(full_text, '{pattern}', 1), '\\s+', ' ', 'g')")
+    return f"CASE WHEN length({flat}) > 50 THEN {flat} END"
+
+
+@query(
+    "extracted_abstracts",
+    f"""WITH {LINES_SQL},
+    n AS (SELECT *, {_strip_sql('line')} = '' AS blank, regexp_matches(line, '^\\d+\\.?\\s+(Introduction|INTRODUCTION)') AS intro FROM l),
+    at_ AS (SELECT arxiv_id, pos AS i FROM l WHERE pos <= 50 AND contains(lower(line), 'abstract')),
+    j AS (SELECT at_.arxiv_id, i, pos, line, blank, intro FROM at_ JOIN n ON n.arxiv_id = at_.arxiv_id AND pos > i AND pos < i + 30),
+    st AS (SELECT arxiv_id, i, min(pos) FILTER (NOT blank) AS first, coalesce(min(pos) FILTER (intro), 1000000) AS intro FROM j GROUP BY ALL),
+    en AS (SELECT j.arxiv_id, j.i, any_value(st.first) AS first, least(any_value(st.intro), coalesce(min(pos) FILTER (blank AND pos > st.first), 1000000)) AS stop
+      FROM j JOIN st ON st.arxiv_id = j.arxiv_id AND st.i = j.i GROUP BY ALL),
+    ga AS (SELECT j.arxiv_id, j.i, string_agg({_strip_sql('line')}, ' ' ORDER BY pos) AS t FROM j JOIN en ON en.arxiv_id = j.arxiv_id AND en.i = j.i
+      WHERE NOT blank AND pos >= first AND pos < stop GROUP BY ALL),
+    by_line AS (SELECT arxiv_id, arg_min(t, i) AS t FROM ga WHERE t <> '' GROUP BY 1)
+    SELECT arxiv_id, CASE WHEN full_text IS NOT NULL THEN coalesce(
+      {_abstract_sql('(?is)abstract[.\\s\\-—]*\\n(.*?)(?:\\n\\s*\\n|\\n(?:\\d+\\.?\\s+)?introduction)')},
+      {_abstract_sql('(?is)abstract[.\\s\\-—]*(.*?)(?:(?:\\d+\\.?\\s+)?introduction|keywords|1\\s)')}, t, '') END AS abstract FROM x LEFT JOIN by_line USING (arxiv_id)""",
+)
 def extracted_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir).select(
         "arxiv_id", extraction.abstract_of(F.col("full_text")).alias("abstract")
@@ -329,36 +364,42 @@ def extracted_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_HEAD = extraction._HEADING.replace("'", "''")
-_NUM = extraction._NUMBERED
+HEADS_SQL = (
+    "abstract|introduction|related\\s+work|background|method(?:s|ology)?|approach|model(?:\\s+architecture)?"
+    "|experiment(?:s|al\\s+(?:setup|results))?|results?(?:\\s+and\\s+(?:discussion|analysis))?|discussion|analysis"
+    "|evaluation|conclusion(?:s)?|future\\s+work|limitations?|references?|bibliography|appendix(?:\\s+[a-z])?|acknowledgement(?:s)?"
+)
 
 
 @query(
     "section_segments",
-    rf"""WITH {EXTRACTED_SQL},
-    l AS (SELECT arxiv_id, generate_subscripts(a, 1) AS pos, unnest(a) AS line
-          FROM (SELECT arxiv_id, string_split(full_text, chr(10)) AS a FROM x WHERE full_text IS NOT NULL)),
-    h AS (SELECT *, length(trim(line)) <= 100 AND (regexp_matches(trim(line), '{_HEAD}') OR regexp_matches(trim(line), '{_NUM}')) AS head FROM l),
-    m AS (SELECT *, sum(head::int) OVER (PARTITION BY arxiv_id ORDER BY pos) AS no, bool_or(head) OVER (PARTITION BY arxiv_id) AS seen FROM h),
-    g AS (SELECT arxiv_id, no, max(CASE WHEN head THEN trim(line) END) AS name,
-          trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT head), '')) AS text
-          FROM m WHERE no > 0 OR NOT seen GROUP BY arxiv_id, no)
-    SELECT arxiv_id, no::bigint AS ord, coalesce(name, 'Full Text') AS name, text FROM g WHERE length(text) >= 50""",
+    f"""WITH {LINES_SQL},
+    t AS (SELECT *, {_strip_sql('line')} AS name FROM l),
+    h AS (SELECT *, length(name) BETWEEN 1 AND 100 AND (regexp_matches(name, '(?i)^(?:\\d+\\.?\\s+)?({HEADS_SQL})\\s*$') OR (
+      regexp_matches(name, '^(\\d+(?:\\.\\d+)*)\\s+(.+)$') AND length(regexp_extract(name, '^(\\d+(?:\\.\\d+)*)\\s+(.+)$', 2)) < 80
+      AND len(string_split(regexp_extract(name, '^(\\d+(?:\\.\\d+)*)\\s+(.+)$', 1), '.')) <= 2)) AS head FROM t),
+    m AS (SELECT *, sum(head::int) OVER (PARTITION BY arxiv_id ORDER BY pos) AS no FROM h),
+    g AS (SELECT arxiv_id, no, max(CASE WHEN head THEN name END) AS name,
+          {_strip_sql("coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT head), '')")} AS text FROM m WHERE no > 0 GROUP BY arxiv_id, no),
+    k AS (SELECT arxiv_id, no::bigint AS ord, name, text FROM g WHERE length(text) >= 50)
+    SELECT * FROM k UNION ALL SELECT arxiv_id, 0, 'Full Text', {_strip_sql('full_text')} FROM x ANTI JOIN k USING (arxiv_id) WHERE {_strip_sql('full_text')} <> ''""",
 )
 def section_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.sections(_extracted(spark, sf_dir), "arxiv_id", "full_text")
 
 
-@query(
-    "reference_split",
-    f"""WITH {EXTRACTED_SQL}, s AS (
-      SELECT arxiv_id, list_slice(string_split_regex(chr(10) || references_text, '\\n\\s*\\[\\d+\\]\\s*'), 2, 1000000) AS a,
-        string_split_regex(references_text, '\\n\\s*\\n') AS b,
-        list_filter(string_split(references_text, chr(10)), lambda l: length(trim(l)) > 20) AS c FROM x WHERE references_text IS NOT NULL),
-    p AS (SELECT arxiv_id, list_filter(list_transform(CASE WHEN len(a) > 2 THEN a WHEN len(b) > 2 THEN b ELSE c END,
-        lambda r: trim(regexp_replace(r, '\\s+', ' ', 'g'))), lambda r: r <> '') AS r FROM s)
-    SELECT arxiv_id, generate_subscripts(r, 1) - 1 AS ord, unnest(r) AS raw_text FROM p""",
-)
+SPLIT_SQL = f"""{EXTRACTED_SQL}, s AS (
+  SELECT arxiv_id, string_split_regex(references_text, '\\n\\s*\\[\\d+\\]') AS a, regexp_extract_all(references_text, '\\n\\s*\\[(\\d+)\\]', 1) AS no,
+    string_split(regexp_replace(references_text, '\\n([A-Z][a-z]+,?\\s+[A-Z])', chr(1) || '\\1', 'g'), chr(1)) AS w,
+    string_split_regex(references_text, '\\n\\s*\\n') AS b, string_split(references_text, chr(10)) AS c FROM x WHERE references_text IS NOT NULL),
+p AS (SELECT arxiv_id, CASE WHEN len(a) > 2 THEN list_transform(generate_series(1, len(no)), lambda i: '[' || no[i] || '] ' || {_strip_sql('a[i + 1]')})
+  WHEN len(w) > 3 THEN list_filter(list_transform(w, lambda r: {_strip_sql('r')}), lambda r: r <> '')
+  WHEN len(b) > 2 THEN list_filter(list_transform(b, lambda r: {_strip_sql('r')}), lambda r: r <> '')
+  ELSE list_filter(list_transform(c, lambda r: {_strip_sql('r')}), lambda r: length(r) > 20) END AS r FROM s),
+split AS MATERIALIZED (SELECT arxiv_id, generate_subscripts(r, 1) - 1 AS ord, unnest(r) AS raw_text FROM p)"""
+
+
+@query("reference_split", f"WITH {SPLIT_SQL} SELECT arxiv_id, ord, raw_text FROM split")
 def reference_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _extracted(spark, sf_dir).where("references_text is not null")
     return texts.select(
@@ -367,15 +408,15 @@ def reference_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "reference_parse",
-    """SELECT ref_id,
-      regexp_replace(nullif(regexp_extract(raw_text, '(\\d{4}\\.\\d{4,5})(v\\d+)?', 1), ''), 'v\\d+$', '') AS parsed_arxiv_id,
-      regexp_replace(nullif(regexp_extract(raw_text, '(10\\.\\d{4,}/[^\\s,;]+)', 1), ''), '\\.+$', '') AS parsed_doi,
-      regexp_replace(nullif(regexp_extract(raw_text, '"([^"]{15,200})"', 1), ''), '[.,]$', '') AS parsed_title,
-      try_cast(nullif(regexp_extract(raw_text, '\\b(20[012]\\d)\\b', 1), '') AS int) AS parsed_year
-    FROM parsed_refs""",
-)
+FIELDS_SQL = """regexp_replace(nullif(regexp_extract(raw_text, '(\\d{4}\\.\\d{4,5}(?:v\\d+)?)', 1), ''), 'v\\d+$', '') AS parsed_arxiv_id,
+  regexp_replace(nullif(regexp_extract(raw_text, '(10\\.\\d{4,}/[^\\s,]+)', 1), ''), '\\.+$', '') AS parsed_doi,
+  regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(raw_text, '["\u201c]([^"\u201d]{15,200})["\u201d]', 1), ''),
+    nullif(regexp_extract(raw_text, '(?m)(?:^|\\n)\\s*\\[?\\d+\\]?\\s*[A-Z][^.]+?\\.\\s+(.{15,200}?)\\.\\s+(?:In\\s|Proceedings|arXiv|Journal|Trans)', 1), '')),
+    '^\\s+|\\s+$', '', 'g'), '\\.+$', '') AS parsed_title,
+  try_cast(nullif(regexp_extract(raw_text, '\\b(20[012]\\d)\\b', 1), '') AS int) AS parsed_year"""
+
+
+@query("reference_parse", f"SELECT ref_id, {FIELDS_SQL} FROM parsed_refs")
 def reference_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = read_table(spark, sf_dir, "parsed_refs", "ref_id", "raw_text")
     return extraction.reference_fields(refs).drop("raw_text")
@@ -400,6 +441,33 @@ def title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("ord").alias("ref_id"), "dst")
 
 
+CITED_SQL = f"""{SPLIT_SQL}, pf AS MATERIALIZED (SELECT arxiv_id AS src, ord, {FIELDS_SQL} FROM split),
+tt AS (SELECT {_norm_sql('title')} AS t, max(arxiv_id) AS dst FROM papers WHERE title IS NOT NULL GROUP BY 1),
+ce AS MATERIALIZED (SELECT src, parsed_arxiv_id AS dst FROM pf WHERE parsed_arxiv_id <> src
+  UNION SELECT src, dst FROM pf JOIN tt ON {_norm_sql('parsed_title')} = t WHERE t <> '' AND src <> dst)"""
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    parsed = cut(extraction.parsed_references(_extracted(spark, sf_dir)))
+    papers = read_table(spark, sf_dir, "papers", "arxiv_id", "title")
+    return parsed, extraction.citation_edges(parsed, papers, tx.normalized_title)
+
+
+@query("citation_parse", f"WITH {CITED_SQL} SELECT src, dst FROM ce")
+def citation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir)[1]
+
+
+@query(
+    "citation_summary",
+    f"""WITH {CITED_SQL} SELECT arxiv_id, num_references, num_titles, coalesce(c, 0) AS num_cited FROM (
+      SELECT src AS arxiv_id, count(*) AS num_references, count(parsed_title) AS num_titles FROM pf GROUP BY 1)
+    LEFT JOIN (SELECT src AS arxiv_id, count(*) AS c FROM ce GROUP BY 1) USING (arxiv_id)""",
+)
+def citation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.citation_summary(*_parsed(spark, sf_dir))
+
+
 @query(
     "chunk_windows",
     rf"""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{BLANK_SQL}'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
