@@ -143,3 +143,27 @@ def chunks(extracted: DataFrame) -> DataFrame:
         )
     )
     return made.unionByName(bare)
+
+
+def with_metadata(made: DataFrame, papers: DataFrame) -> DataFrame:
+    """chunks with paper_title, authors and published of their paper ('' and no authors where it is unknown), and the text to embed.
+
+    papers has (arxiv_id, title, authors, published), each arxiv_id once.
+    """
+    known = papers.select(
+        "arxiv_id", F.trim("title").alias("paper_title"), "authors", "published"
+    )
+    none = F.array().cast("array<string>")
+    joined = made.join(known, "arxiv_id", "left").withColumns(
+        {
+            "paper_title": F.coalesce("paper_title", F.lit("")),
+            "authors": F.coalesce("authors", none),
+            "published": F.coalesce("published", F.lit("")),
+        }
+    )
+    return joined.withColumn("embedding_text", embedding_text("paper_title", "section_name", "text"))
+
+
+def embedding_text(title: str, section: str, text: str) -> Column:
+    """What an encoder gets of a chunk: its title and section, then its text."""
+    return F.concat(F.lit("Title: "), title, F.lit("\nSection: "), section, F.lit("\n"), text)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,16 +33,16 @@ def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def nearest(
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long lists of doubles as a matrix, without a Python object per number."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
+
+
+def _found(
     queries: DataFrame, data: DataFrame, key: str, k: int, rows_a_block: int = 20_000, same: bool = False
 ) -> DataFrame:
-    """(qid, key, rank, score): the k data vectors of largest cosine for each query.
-
-    queries has (qid, vec), data (key, vec), both of unit_vectors; key columns
-    are of one type. Queries and data are dealt to blocks, every pair of blocks
-    is one matrix product in one task, and only the k best per query and block
-    go on. Ties go to the smaller key. With same=True a query skips its own id.
-    """
+    """(qid, key, score): the k best of each pair of a query and a block of data."""
     d_blocks = max(1, -(-data.count() // rows_a_block))
     q_blocks = max(1, -(-queries.count() // rows_a_block))
     key_type = data.schema[key].dataType.simpleString()
@@ -60,31 +61,57 @@ def nearest(
     )
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, keys = left["qid"].to_pylist(), np.array(right[key].to_pylist(), object)
-        out: dict = {"qid": [], key: [], "score": []}
-        if len(ids) and len(keys):
-            a = np.array(left["vec"].to_pylist(), float)
-            b = np.array(right["vec"].to_pylist(), float)
-            for start in range(0, len(a), 512):
-                scores = np.round(a[start : start + 512] @ b.T, 9)
-                for i, row in enumerate(scores):
-                    if same:
-                        row[keys == ids[start + i]] = -9
-                    cut = np.partition(row, -min(k, len(row)))[-min(k, len(row))]
-                    near = np.nonzero((row >= cut) & (row > -9))[0]
-                    near = sorted(near, key=lambda j: (-row[j], keys[j]))[:k]
-                    out["qid"] += [ids[start + i]] * len(near)
-                    out[key] += [keys[j] for j in near]
-                    out["score"] += [float(row[j]) for j in near]
-        kinds = {"qid": left.schema.field("qid").type, key: right.schema.field(key).type}
-        return pa.table({c: pa.array(v, kinds.get(c, pa.float64())) for c, v in out.items()})
+        # rows in order of their keys, so that a stable sort by score breaks ties
+        right = right.sort_by(key)
+        a, b = _matrix(left["vec"]), _matrix(right["vec"])
+        rows, columns, scores = [], [], []
+        for start in range(0, len(a) if len(b) else 0, 512):
+            tile = np.round(a[start : start + 512] @ b.T, 9)
+            if same:
+                own = pc.index_in(left["qid"].slice(start, 512).cast(right[key].type), right[key])
+                own = own.to_numpy(zero_copy_only=False)
+                there = np.nonzero(~np.isnan(own.astype(float)))[0]
+                tile[there, own[there].astype(np.int64)] = -9
+            most = min(k, tile.shape[1])
+            cut = np.partition(tile, -most, axis=1)[:, -most]
+            row, column = np.nonzero((tile >= cut[:, None]) & (tile > -9))
+            order = np.lexsort((column, -tile[row, column], row))
+            row, column = row[order], column[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, column = row[place < k], column[place < k]
+            rows.append(row + start)
+            columns.append(column)
+            scores.append(tile[row, column])
+        rows = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        columns = np.concatenate(columns) if columns else np.empty(0, np.int64)
+        scores = np.concatenate(scores) if scores else np.empty(0)
+        return pa.table(
+            {"qid": left["qid"].take(pa.array(rows)), key: right[key].take(pa.array(columns)), "score": pa.array(scores, pa.float64())}
+        )
 
     qid_type = queries.schema["qid"].dataType.simpleString()
-    found = (
+    return (
         q.groupBy("qb", "db")
         .cogroup(d.groupBy("qb", "db"))
         .applyInArrow(search, f"qid {qid_type}, {key} {key_type}, score double")
     )
+
+def nearest(
+    queries: DataFrame, data: DataFrame, key: str, k: int, rows_a_block: int = 20_000, same: bool = False
+) -> DataFrame:
+    """(qid, key, rank, score): the k data vectors of largest cosine for each query.
+
+    queries has (qid, vec), data (key, vec), both of unit_vectors; key columns
+    are of one type. Queries and data are dealt to blocks, every pair of blocks
+    is one matrix product in one task, and only the k best per query and block
+    go on. Ties go to the smaller key. With same=True a query skips its own id.
+    """
+    found = _found(queries, data, key, k, rows_a_block, same)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), key)
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("qid", key, "rank", "score")
+
+
+def similarities(queries: DataFrame, data: DataFrame, key: str, rows_a_block: int = 5_000) -> DataFrame:
+    """(qid, key, cosine) of every query with every data vector, in blocks."""
+    return _found(queries, data, key, 1 << 31, rows_a_block).withColumnRenamed("score", "cosine")

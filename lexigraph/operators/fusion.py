@@ -44,11 +44,13 @@ def fused(lists: DataFrame, weights: dict[str, float] | None = None) -> DataFram
     )
 
 
-def graph_scored(results: DataFrame, ranks: DataFrame, near: DataFrame) -> DataFrame:
+def graph_scored(
+    results: DataFrame, ranks: DataFrame, near: DataFrame, seeded: DataFrame | None = None
+) -> DataFrame:
     """results with pagerank, proximity and the combined score, ranked again.
 
     .5 score + .2 pagerank over the largest + .2 proximity; both are 0 where a
-    paper has none.
+    paper has none. With seeded (qid) the scores of other queries stay.
     """
     largest = ranks.agg(F.max("pagerank").alias("largest"))
     joined = (
@@ -60,11 +62,14 @@ def graph_scored(results: DataFrame, ranks: DataFrame, near: DataFrame) -> DataF
     )
     part = F.coalesce(F.try_divide("pagerank", "largest"), F.lit(0.0))
     score = F.round(SEMANTIC * F.col("score") + RANK * part + NEAR * F.col("proximity"), DIGITS)
+    if seeded is not None:
+        joined = joined.join(seeded.withColumn("_seeded", F.lit(True)), "qid", "left")
+        score = F.when(F.col("_seeded"), score).otherwise(F.col("score"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "rank")
     return (
         joined.withColumn("score", score)
         .withColumn("rank", F.row_number().over(order))
-        .drop("largest")
+        .drop("largest", "_seeded")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigraph.session import cut
 
-# Damping of the rank, and how deep distances are followed.
+# Fixed value: damping of the rank.
 DAMPING = 0.85
 
 
@@ -45,46 +45,65 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(back).where("src <> dst").distinct()
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 10) -> DataFrame:
-    """(id, pagerank): a fixed number of rounds; the mass of dangling nodes is spread evenly.
+def pagerank(
+    nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-6, most: int = 100, piece: int = 1000
+) -> DataFrame:
+    """(id, pagerank): power iteration until the ranks change by less than nodes * tolerance in all.
 
-    Each round is one join on src and one aggregation on dst, and is cut.
+    The mass of dangling nodes is spread evenly. Each round is one join on src
+    and one aggregation on dst, and is cut. A node of more than `piece` edges
+    has its rank repeated per piece, so that its edges are spread over as many
+    tasks. An iteration that has not settled after `most` rounds is an error.
     """
     n = max(1, nodes.count())
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    links = cut(edges.join(out, "src"))
+    pieces = F.ceil(F.col("out") / piece)
+    links = cut(
+        edges.join(out, "src").select(
+            "src", "dst", "out", F.pmod(F.xxhash64("dst", F.lit(3)), pieces).alias("piece")
+        )
+    )
     ranks = cut(
         nodes.join(out.select(F.col("src").alias("id"), "out"), "id", "left").select(
-            "id", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("pagerank")
+            "id", "out", F.lit(1.0 / n).alias("before"), F.lit(1.0 / n).alias("pagerank")
         )
     )
-    for _ in range(iterations):
+    moved = F.sum(F.abs(F.col("pagerank") - F.col("before"))).alias("moved")
+    lost = F.sum(F.when(F.col("out").isNull(), F.col("pagerank"))).alias("lost")
+    state = ranks.agg(moved, lost).first()
+    for _ in range(most):
+        spread = ranks.where("out is not null").select(
+            F.col("id").alias("src"), "pagerank", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)).alias("piece")
+        )
         given = (
-            links.join(ranks, links.src == ranks.id)
+            links.join(spread, ["src", "piece"])
             .groupBy(F.col("dst").alias("id"))
             .agg(F.sum(F.col("pagerank") / F.col("out")).alias("got"))
         )
-        lost = ranks.agg(
-            F.coalesce(F.sum(F.when(F.col("dangling"), F.col("pagerank"))), F.lit(0.0)).alias("lost")
-        ).collect()[0]["lost"]
-        base = (1 - DAMPING) / n + DAMPING * lost / n
+        base = (1 - DAMPING) / n + DAMPING * (state["lost"] or 0.0) / n
         ranks = cut(
-            ranks.select("id", "dangling")
+            ranks.select("id", "out", F.col("pagerank").alias("before"))
             .join(given, "id", "left")
-            .select(
-                "id",
-                "dangling",
-                (F.lit(base) + DAMPING * F.coalesce("got", F.lit(0.0))).alias("pagerank"),
-            )
+            .select("id", "out", "before", (F.lit(base) + DAMPING * F.coalesce("got", F.lit(0.0))).alias("pagerank"))
         )
-    return ranks.select("id", "pagerank")
+        state = ranks.agg(moved, lost).first()  # two numbers
+        if (state["moved"] or 0.0) < n * tolerance:
+            return ranks.select("id", "pagerank")
+    raise RuntimeError(f"ranks have not settled after {most} rounds")
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def top_ranked(ranks: DataFrame, papers: DataFrame, k: int = 20) -> DataFrame:
+    """(id, pagerank, title): the k papers of largest rank; ties go to the smaller id."""
+    best = ranks.withColumn("pagerank", F.round("pagerank", 9)).orderBy(F.desc("pagerank"), "id").limit(k)
+    return best.join(papers.select("id", "title"), "id", "left")
+
+
+def components(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     """(id, component): the smallest id of each undirected component.
 
     Labels jump: each round a node takes the smallest label around it and then
-    the label of that label, so long paths shrink by powers of two.
+    the label of that label, so long paths shrink by powers of two. Labels that
+    have not settled after `most` rounds are an error.
     """
     around = cut(both_ways(edges))
     labels = cut(nodes.select("id", F.col("id").alias("component")))
@@ -106,8 +125,8 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame
         changed = moved.where("component <> next").limit(1).count()
         labels = moved.select("id", F.col("next").alias("component"))
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels have not settled after {most} rounds")
 
 
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
@@ -131,15 +150,17 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFram
     return labels
 
 
-def distances(seeds: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
-    """(qid, id, distance): undirected distances up to depth from the seeds (qid, id).
+def distances(seeds: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(qid, id, distance): undirected distances from the seeds (qid, id), up to depth if one is given.
 
-    One search for all queries at once; a frontier goes on from new nodes only.
+    One search for all queries at once; a frontier goes on from new nodes only,
+    until it is empty.
     """
     around = cut(both_ways(edges))
-    reached = seeds.select("qid", "id").distinct().withColumn("distance", F.lit(0))
-    frontier = reached
-    for d in range(1, depth + 1):
+    reached = cut(seeds.select("qid", "id").distinct().withColumn("distance", F.lit(0)))
+    frontier, d = reached, 0
+    while depth is None or d < depth:
+        d += 1
         step = (
             frontier.join(around, frontier.id == around.src)
             .select("qid", F.col("dst").alias("id"))
@@ -147,10 +168,67 @@ def distances(seeds: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
             .join(reached.select("qid", "id"), ["qid", "id"], "left_anti")
         )
         frontier = cut(step.withColumn("distance", F.lit(d)))
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
     return reached
 
 
+def pair_distances(pairs: DataFrame, seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(qid, id, distance): of each pair (qid, id) the smallest distance to a seed of its query; unreachable pairs are missing.
+
+    Searches meet in the middle: the seeds' neighbours are found once, and a
+    node is two steps away if it is next to one of them, which is looked up from
+    the side that has fewer neighbours. What is further away goes on from its
+    own neighbours, so no search floods the graph from a hub.
+    """
+    around = cut(both_ways(edges))
+    width = around.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("width"))
+    s = cut(seeds.select("qid", "id").distinct())
+    ball = cut(
+        s.join(around, s.id == around.src).select("qid", F.col("dst").alias("mid")).distinct()
+    )
+    size = ball.groupBy("qid").agg(F.count(F.lit(1)).alias("size"))
+    at_seed = s.select("qid", F.col("id").alias("at"))
+    at_ball = ball.select("qid", F.col("mid").alias("at"))
+    open_ = cut(pairs.select("qid", "id", F.col("id").alias("at")).distinct().join(size.select("qid"), "qid", "left_semi"))
+    lone = pairs.select("qid", "id").join(s, ["qid", "id"], "left_semi").distinct().withColumn("distance", F.lit(0))
+    seen, found, steps = open_, None, 0
+    while not open_.isEmpty():
+        narrow = F.coalesce("width", F.lit(0)) <= F.col("size")
+        sized = open_.join(size, "qid").join(width.withColumnRenamed("id", "at"), "at", "left")
+        by_node = (
+            sized.where(narrow).select("qid", "id", "at")
+            .join(around.select(F.col("src").alias("at"), F.col("dst").alias("mid")), "at")
+            .join(ball, ["qid", "mid"], "left_semi")
+        )
+        by_seed = (
+            sized.where(~narrow).select("qid", "id", "at")
+            .join(ball, "qid")
+            .join(around.select(F.col("src").alias("mid"), F.col("dst").alias("at")), ["mid", "at"], "left_semi")
+        )
+        two = by_node.select("qid", "id").unionByName(by_seed.select("qid", "id"))
+        hits = two.withColumn("distance", F.lit(steps + 2))
+        if steps == 0:
+            zero = open_.join(at_seed, ["qid", "at"], "left_semi").select("qid", "id", F.lit(0).alias("distance"))
+            one = open_.join(at_ball, ["qid", "at"], "left_semi").select("qid", "id", F.lit(1).alias("distance"))
+            hits = hits.unionByName(zero).unionByName(one)
+        hits = cut(hits.groupBy("qid", "id").agg(F.min("distance").alias("distance")))
+        found = hits if found is None else found.unionByName(hits)
+        further = (
+            open_.join(hits.select("qid", "id"), ["qid", "id"], "left_anti")
+            .join(around.select(F.col("src").alias("at"), F.col("dst").alias("next")), "at")
+            .select("qid", "id", F.col("next").alias("at"))
+            .distinct()
+            .join(seen, ["qid", "id", "at"], "left_anti")
+        )
+        open_ = cut(further)
+        seen, steps = seen.unionByName(open_), steps + 1
+    if found is None:
+        return lone
+    return found.unionByName(lone).groupBy("qid", "id").agg(F.min("distance").alias("distance"))
+
+
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, density, average and largest degrees, components, largest component."""
     deg = degrees(nodes, edges).agg(

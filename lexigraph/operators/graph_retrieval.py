@@ -67,28 +67,65 @@ def community_peers(seeds: DataFrame, membership: DataFrame, ranks: DataFrame, k
     return top(scored, k)
 
 
-def expected_walk(seeds: DataFrame, edges: DataFrame, k: int = 33, steps: int = STEPS) -> DataFrame:
+def expected_walk(
+    seeds: DataFrame, edges: DataFrame, likeness: DataFrame | None = None, k: int = 33, steps: int = STEPS
+) -> DataFrame:
     """(qid, id, score, rank): expected visits of a random walk, a visit at step i counting 1/(i+1).
 
-    The exact expectation of uniform walks from a random seed over both edge
-    directions (a pair that cites each other counts twice), normalised by the
-    best; seeds score nothing.
+    The exact expectation of walks from a random seed over both edge directions
+    (a pair that cites each other counts twice), normalised by the best; seeds
+    score nothing. Neighbours are taken alike, or with likeness (qid, id,
+    cosine) in proportion to their cosine with the query, FLOOR at least; a
+    paper that likeness lacks counts UNKNOWN, and queries it lacks walk
+    uniformly.
+
+    A step multiplies the mass by the links, which are the same for all
+    queries, and then by the weight of the paper it reached, so links and weights
+    never meet in one row.
     """
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    links = edges.unionByName(back)
-    out = links.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    counted = links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).join(out, "src")
-    moves = cut(counted.select("src", "dst", (F.col("m") / F.col("out")).alias("p")))
-    s = seeds.select("qid", "id").distinct()
-    at = s.withColumn("mass", 1 / F.count(F.lit(1)).over(Window.partitionBy("qid")))
-    visits = None
-    for i in range(steps):
-        # written, as it is both a step's result and the start of the next one
-        at = cut(
-            at.join(moves, at.id == moves.src)
+    links = cut(edges.unionByName(back).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")))
+    s = cut(seeds.select("qid", "id").distinct())
+
+    def stepped(mass: DataFrame) -> DataFrame:
+        return (
+            mass.join(links, mass.id == links.src)
             .groupBy("qid", F.col("dst").alias("id"))
-            .agg(F.sum(F.col("mass") * F.col("p")).alias("mass"))
+            .agg(F.sum(F.col("mass") * F.col("m")).alias("mass"))
         )
+
+    start = s.withColumn("mass", 1 / F.count(F.lit(1)).over(Window.partitionBy("qid")))
+    if likeness is None:
+        out = cut(links.groupBy(F.col("src").alias("id")).agg(F.sum("m").alias("all")))
+
+        def shared(mass: DataFrame) -> DataFrame:
+            return mass.join(out, "id").select("qid", "id", (F.col("mass") / F.col("all")).alias("mass"))
+
+        def weighted(mass: DataFrame) -> DataFrame:
+            return mass
+    else:
+        nodes = links.select(F.col("src").alias("id")).distinct()
+        known = likeness.select("qid").distinct()
+        every = s.select("qid").distinct().join(known.withColumn("_q", F.lit(True)), "qid", "left")
+        # a stated query set against all papers
+        pairs = every.join(nodes, how="cross").join(likeness, ["qid", "id"], "left")
+        weight = F.when(F.col("_q").isNull(), 1.0).when(F.col("cosine").isNull(), UNKNOWN).otherwise(
+            F.greatest("cosine", F.lit(FLOOR))
+        )
+        weights = cut(pairs.select("qid", "id", weight.alias("weight")))
+        total = stepped(weights.select("qid", "id", F.col("weight").alias("mass")))
+        both = cut(weights.join(total.withColumnRenamed("mass", "all"), ["qid", "id"]))
+
+        def shared(mass: DataFrame) -> DataFrame:
+            return mass.join(both, ["qid", "id"]).select("qid", "id", (F.col("mass") / F.col("all")).alias("mass"))
+
+        def weighted(mass: DataFrame) -> DataFrame:
+            return mass.join(both, ["qid", "id"]).select("qid", "id", (F.col("mass") * F.col("weight")).alias("mass"))
+
+    at, visits = start, None
+    for i in range(steps):
+        # written, as it is both a step's result and the start of the next one
+        at = cut(weighted(stepped(shared(at))))
         now = at.select("qid", "id", (F.col("mass") / (i + 1)).alias("v"))
         visits = now if visits is None else visits.unionByName(now)
     total = (
@@ -109,6 +146,74 @@ def proximity(distances: DataFrame) -> DataFrame:
     )
 
 
+def neighbour_lists(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, side, neighbour): the papers that each of ids cites ('cites') and is cited by ('cited_by'), a row each."""
+    wanted = ids.select("id").distinct()
+    out = wanted.join(edges, wanted.id == edges.src).select("id", F.lit("cites").alias("side"), F.col("dst").alias("neighbour"))
+    into = wanted.join(edges, wanted.id == edges.dst).select("id", F.lit("cited_by").alias("side"), F.col("src").alias("neighbour"))
+    return out.unionByName(into)
+
+
+def citation_view(
+    ids: DataFrame, edges: DataFrame, membership: DataFrame, ranks: DataFrame, papers: DataFrame, members: int = 20
+) -> DataFrame:
+    """(id, side, neighbour, title, pagerank): the neighbours of each of ids and some members of its community.
+
+    'community' lists the first `members` others by id. Titles that papers (id,
+    title) lack are 'Unknown', ranks that ranks lack 0.
+    """
+    order = Window.partitionBy("community").orderBy("neighbour")
+    # one more, as a paper is no neighbour of its own
+    first = (
+        membership.select(F.col("id").alias("neighbour"), "community")
+        .withColumn("_r", F.row_number().over(order))
+        .where(F.col("_r") <= members + 1)
+    )
+    own = ids.select("id").distinct().join(membership, "id").join(first, "community").where("id <> neighbour")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("neighbour"))
+    peers = own.withColumn("_r", place).where(F.col("_r") <= members)
+    every = neighbour_lists(ids, edges).unionByName(peers.select("id", F.lit("community").alias("side"), "neighbour"))
+    about = papers.select(F.col("id").alias("neighbour"), "title")
+    return (
+        every.join(about, "neighbour", "left")
+        .join(ranks.select(F.col("id").alias("neighbour"), "pagerank"), "neighbour", "left")
+        .select(
+            "id",
+            "side",
+            "neighbour",
+            F.coalesce("title", F.lit("Unknown")).alias("title"),
+            F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"),
+        )
+    )
+
+
+def looked_up(
+    asked: DataFrame, papers: DataFrame, degrees: DataFrame, ranks: DataFrame, membership: DataFrame
+) -> DataFrame:
+    """(asked, id, title, citations, pagerank, community) for every asked id that is known, with or without version.
+
+    papers has (id, title). An id that is known as it stands is itself, else it is its part before a 'v'.
+    """
+    ids = asked.select("asked").distinct()
+    known = papers.select("id", "title")
+    exact = ids.join(known, ids.asked == known.id)
+    rest = ids.join(exact.select("asked"), "asked", "left_anti").withColumn("id", F.get(F.split("asked", "v"), F.lit(0)))
+    found = exact.unionByName(rest.join(known, "id").select("asked", "id", "title"))
+    return (
+        found.join(degrees.select("id", F.col("in_degree").alias("citations")), "id", "left")
+        .join(ranks.select("id", "pagerank"), "id", "left")
+        .join(membership, "id", "left")
+        .select(
+            "asked",
+            "id",
+            "title",
+            F.coalesce("citations", F.lit(0).cast("bigint")).alias("citations"),
+            F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"),
+            "community",
+        )
+    )
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """(id, cited, citing, either): how many papers each paper is linked to."""
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("cited"))

@@ -2,58 +2,121 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigraph.functions.text import normalized_title
 from lexigraph.operators import chunking, dense, extraction, graph, lexical
 from lexigraph.plans import corpus
-from lexigraph.session import settled
+from lexigraph.session import ensure_checkpoint_dir, settled
 from lexigraph.sources.tables import read_table, write_table
 
 
-def build_index(spark: SparkSession, sf_dir: str, warehouse: str) -> dict[str, str]:
-    """Write the index tables and return their paths by name.
+def build_corpus(spark: SparkSession, sf_dir: str, warehouse: str) -> list[str]:
+    """Write what is made of the extracted papers (each arxiv_id once): refs, cited, citation_summary and chunks.
 
-    refs and chunks come from the extracted papers (each arxiv_id once), nodes
-    carry rank, community and degrees, postings and vocabulary are those of the
-    new chunks, vectors the usable ones of the vector index.
+    Chunks carry title, authors and date of their paper, and the text to embed.
     """
     settled(spark)
     extracted = read_table(
         spark, sf_dir, "extracted", "arxiv_id", "abstract", "sections", "references_text"
     ).where("arxiv_id is not null")
     one = extracted.dropDuplicates(["arxiv_id"])
-    split = one.where("references_text is not null").select(
-        F.col("arxiv_id").alias("src"),
-        F.posexplode(extraction.split_references(F.col("references_text"))).alias("ord", "raw_text"),
-    )
-    write_table(extraction.reference_fields(split), warehouse, "refs")
-    write_table(chunking.chunks(one), warehouse, "chunks")
+    write_table(extraction.parsed_references(one), warehouse, "refs")
+    refs = spark.read.parquet(f"{warehouse}/refs")
+    titles = read_table(spark, sf_dir, "papers", "arxiv_id", "title")
+    write_table(extraction.citation_edges(refs, titles, normalized_title), warehouse, "cited")
+    cited = spark.read.parquet(f"{warehouse}/cited")
+    write_table(extraction.citation_summary(refs, cited), warehouse, "citation_summary")
+    described = chunking.with_metadata(chunking.chunks(one), corpus.metadata(spark, sf_dir))
+    write_table(described, warehouse, "chunks")
+    return ["refs", "cited", "citation_summary", "chunks"]
+
+
+def build_search(spark: SparkSession, sf_dir: str, warehouse: str) -> list[str]:
+    """Write the tables that plans.engine.Engine searches.
+
+    nodes carry degrees, rank, community and title; search_chunks has each
+    chunk_id once; parts and limits are the score-ready postings; vectors and
+    paper_vectors are the usable vectors of chunks and of abstracts.
+    """
+    settled(spark)
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        write_table(df, warehouse, name)
+        return spark.read.parquet(f"{warehouse}/{name}")
+
     nodes, edges = corpus.graph_tables(spark, sf_dir)
-    write_table(edges, warehouse, "edges")
+    edges = stored(edges, "edges")
     described = (
         graph.degrees(nodes, edges)
         .join(graph.pagerank(nodes, edges), "id")
         .join(graph.communities(nodes, edges), "id")
         .join(corpus.papers(spark, sf_dir), "id", "left")
     )
-    write_table(described, warehouse, "nodes")
-    chunks = spark.read.parquet(f"{warehouse}/chunks")
-    posts = lexical.postings(chunks, "chunk_id", F.col("text"))
-    write_table(posts.repartitionByRange("term"), warehouse, "postings")
-    stored = spark.read.parquet(f"{warehouse}/postings")
-    size = lexical.corpus_size(chunks, F.col("text"))
-    write_table(lexical.weights(stored, size), warehouse, "vocabulary")
-    rows = read_table(spark, sf_dir, "vector_index", "chunk_id", "embedding")
-    vectors = dense.unit_vectors(rows, "chunk_id").dropDuplicates(["chunk_id"])
-    write_table(vectors, warehouse, "vectors")
-    names = ["refs", "chunks", "edges", "nodes", "postings", "vocabulary", "vectors"]
+    stored(described, "nodes")
+    rows = read_table(spark, sf_dir, "chunks", "chunk_id", "arxiv_id", "paper_title", "section_name", "text")
+    chunks = stored(
+        rows.where("chunk_id is not null").groupBy("chunk_id").agg(
+            F.max("arxiv_id").alias("arxiv_id"),
+            F.max("paper_title").alias("title"),
+            F.max("section_name").alias("section_name"),
+            F.max("text").alias("text"),
+        ),
+        "search_chunks",
+    )
+    parts = [F.coalesce(c, F.lit("")) for c in ("title", "section_name", "text")]
+    docs = chunks.select("chunk_id", F.concat_ws(" ", *parts).alias("text"))
+    posts = stored(lexical.postings(docs, "chunk_id", F.col("text")), "postings")
+    size = stored(lexical.corpus_size(docs.select("chunk_id"), posts), "size")
+    scored = stored(lexical.impacts(posts, size, "chunk_id"), "parts")
+    stored(lexical.bounds(scored, size), "limits")
+    vectors = read_table(spark, sf_dir, "vector_index", "chunk_id", "embedding")
+    usable = stored(dense.unit_vectors(vectors, "chunk_id").dropDuplicates(["chunk_id"]), "vectors")
+    of_paper = usable.where(F.col("chunk_id").endswith("_abstract"))
+    stored(of_paper.select(F.regexp_replace("chunk_id", "_abstract$", "").alias("id"), "vec"), "paper_vectors")
+    both = read_table(spark, sf_dir, "vector_index", "chunk_id", "arxiv_id").unionByName(
+        chunks.select("chunk_id", "arxiv_id")
+    )
+    stored(both.groupBy(F.col("chunk_id").alias("key")).agg(F.max("arxiv_id").alias("arxiv_id")), "paper_of")
+    return ["edges", "nodes", "search_chunks", "postings", "size", "parts", "limits", "vectors", "paper_vectors", "paper_of"]
+
+
+def build_index(spark: SparkSession, sf_dir: str, warehouse: str) -> dict[str, str]:
+    """Write all tables and return their paths by name."""
+    names = build_corpus(spark, sf_dir, warehouse) + build_search(spark, sf_dir, warehouse)
     return {name: f"{warehouse}/{name}" for name in names}
 
 
-def add_vectors(spark: SparkSession, warehouse: str, new: DataFrame) -> None:
-    """Upsert (chunk_id, embedding) rows into the stored vectors; repeated ids count once."""
+_built: dict[tuple[str, str], str] = {}
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a search index of sf_dir in the shared checkpoint folder, built once an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        ensure_checkpoint_dir(spark)
+        path = f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4()}"
+        build_search(spark, sf_dir, path)
+        _built[key] = path
+    return _built[key]
+
+
+def add_vectors(spark: SparkSession, warehouse: str, new: DataFrame) -> str:
+    """Upsert (chunk_id, embedding) rows into the stored vectors; repeated ids count once.
+
+    Written once, beside the old table, whose place it takes when it is whole.
+    """
     old = spark.read.parquet(f"{warehouse}/vectors")
     fresh = dense.unit_vectors(new, "chunk_id").dropDuplicates(["chunk_id"])
-    write_table(dense.upserted(old, fresh, "chunk_id"), warehouse, "vectors_next")
-    write_table(spark.read.parquet(f"{warehouse}/vectors_next"), warehouse, "vectors")
+    next_name = f"vectors-{uuid.uuid4()}"
+    write_table(dense.upserted(old, fresh, "chunk_id"), warehouse, next_name)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target = path(f"{warehouse}/vectors")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.rename(target, path(f"{warehouse}/{next_name}-old"))
+    fs.rename(path(f"{warehouse}/{next_name}"), target)
+    fs.delete(path(f"{warehouse}/{next_name}-old"), True)
+    return f"{warehouse}/vectors"

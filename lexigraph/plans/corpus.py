@@ -27,6 +27,14 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(arxiv_id, title, authors, published) of every paper once, as harvested last."""
+    columns = ["arxiv_id", "title", "authors", "published"]
+    rows = read_table(spark, sf_dir, "papers", *columns, "updated").where("arxiv_id is not null")
+    newest = F.max_by(F.struct("title", "authors", "published"), F.struct("updated", "title", "published"))
+    return rows.groupBy("arxiv_id").agg(newest.alias("r")).select("arxiv_id", "r.*")
+
+
 def graph_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the citation graph, edges written once as every operator reads them often."""
     known = (

@@ -24,6 +24,7 @@ from lexigraph.operators import (
     lexical,
 )
 from lexigraph.plans import corpus
+from lexigraph.plans.build import search_index
 from lexigraph.plans.engine import METHODS, Engine
 from lexigraph.session import cut, ensure_checkpoint_dir, settled
 from lexigraph.sources import sessions
@@ -515,6 +516,12 @@ around AS MATERIALIZED (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT
 seeds AS MATERIALIZED (SELECT id AS qid, id FROM nodes WHERE md5(id) LIKE '0%')"""
 
 
+TITLES_SQL = """titles AS MATERIALIZED (
+  SELECT arxiv_id AS id, arg_max(trim(title), (own, updated, title, published)) AS title FROM (
+    SELECT arxiv_id, title, published, updated, 1 AS own FROM papers
+    UNION ALL SELECT arxiv_id, title, published, '', 0 FROM reading_list) WHERE arxiv_id IS NOT NULL GROUP BY arxiv_id)"""
+
+
 @query("graph_edges", f"WITH {GRAPH_SQL} SELECT src, dst FROM edges")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.graph_tables(spark, sf_dir)[1]
@@ -572,17 +579,19 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pagerank_sql(rounds: int = 10) -> str:
+def pagerank_sql(rounds: int = 45) -> str:
+    """Power iteration unrolled; ranks stand still once a round has moved less than a millionth a node in all."""
     steps = [
         "n AS (SELECT count(*)::double AS n FROM nodes)",
         "od AS (SELECT src, count(*) AS o FROM edges GROUP BY src)",
-        "r0 AS MATERIALIZED (SELECT id, 1 / n AS pr FROM nodes, n)",
+        "r0 AS MATERIALIZED (SELECT id, 1 / n AS pr, 0::double AS old FROM nodes, n)",
     ]
     for i in range(1, rounds + 1):
         steps.append(
-            f"""r{i} AS MATERIALIZED (SELECT nodes.id, 0.15 / n.n + 0.85 * l.lost / n.n + 0.85 * coalesce(g.got, 0) AS pr
-            FROM nodes LEFT JOIN (SELECT dst AS id, sum(p.pr / od.o) AS got FROM edges JOIN od USING (src) JOIN r{i - 1} p ON p.id = src GROUP BY dst) g USING (id),
-            n, (SELECT coalesce(sum(pr), 0) AS lost FROM r{i - 1} ANTI JOIN od ON id = od.src) l)"""
+            f"""e{i} AS MATERIALIZED (SELECT sum(abs(pr - old)) < 1e-6 * any_value(n.n) AS done FROM r{i - 1}, n),
+            r{i} AS MATERIALIZED (SELECT nodes.id, CASE WHEN e.done THEN p.pr ELSE 0.15 / n.n + 0.85 * l.lost / n.n + 0.85 * coalesce(g.got, 0) END AS pr, p.pr AS old
+            FROM nodes JOIN r{i - 1} p ON p.id = nodes.id LEFT JOIN (SELECT dst AS id, sum(p.pr / od.o) AS got FROM edges JOIN od USING (src) JOIN r{i - 1} p ON p.id = src GROUP BY dst) g ON g.id = nodes.id,
+            n, e{i} e, (SELECT coalesce(sum(pr), 0) AS lost FROM r{i - 1} ANTI JOIN od ON id = od.src) l)"""
         )
     return ", ".join(steps) + f", pr AS MATERIALIZED (SELECT id, pr AS pagerank FROM r{rounds})"
 
@@ -593,6 +602,16 @@ def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.withColumn("pagerank", F.round("pagerank", 9))
 
 
+@query(
+    "graph_top_papers",
+    f"""WITH {GRAPH_SQL}, {TITLES_SQL}, {pagerank_sql()} SELECT t.id, t.pagerank, title FROM (
+      SELECT id, round(pagerank, 9) AS pagerank FROM pr ORDER BY 2 DESC, 1 LIMIT 20) t LEFT JOIN titles USING (id)""",
+)
+def graph_top_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = graph.pagerank(*corpus.graph_tables(spark, sf_dir))
+    return graph.top_ranked(ranks, corpus.papers(spark, sf_dir))
+
+
 def communities_sql(rounds: int = 5) -> str:
     steps = [
         "own AS MATERIALIZED (SELECT src, dst FROM around UNION ALL SELECT id, id FROM nodes)",
@@ -622,7 +641,46 @@ def graph_community_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.orderBy(F.desc("size"), "community").limit(10)
 
 
-def distances_sql(depth: int = 2) -> str:
+@query(
+    "citation_view",
+    f"""WITH {GRAPH_SQL}, {TITLES_SQL}, {pagerank_sql()}, {communities_sql()},
+    nb AS (SELECT s.id, 'cites' AS side, dst AS neighbour FROM seeds s JOIN edges ON s.id = src UNION ALL SELECT s.id, 'cited_by', src FROM seeds s JOIN edges ON s.id = dst
+      UNION ALL SELECT id, 'community', other FROM (SELECT s.id, m.id AS other, row_number() OVER (PARTITION BY s.id ORDER BY m.id) AS r
+        FROM seeds s JOIN com c ON c.id = s.id JOIN com m ON m.community = c.community WHERE m.id <> s.id) WHERE r <= 20)
+    SELECT nb.id, side, neighbour, coalesce(title, 'Unknown') AS title, round(coalesce(pagerank, 0), 9) AS pagerank
+    FROM nb LEFT JOIN titles ON titles.id = neighbour LEFT JOIN pr ON pr.id = neighbour""",
+)
+def citation_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = corpus.graph_tables(spark, sf_dir)
+    found = graph_retrieval.citation_view(
+        corpus.seeds(nodes), edges, graph.communities(nodes, edges), graph.pagerank(nodes, edges), corpus.papers(spark, sf_dir)
+    )
+    return found.withColumn("pagerank", F.round("pagerank", 9))
+
+
+@query(
+    "paper_lookup",
+    f"""WITH {GRAPH_SQL}, {TITLES_SQL}, {DEGREES_SQL}, {pagerank_sql()}, {communities_sql()},
+    ask AS (SELECT DISTINCT arxiv_id AS asked FROM parsed_refs WHERE arxiv_id IS NOT NULL),
+    hit AS (SELECT asked, coalesce(a.id, b.id) AS id FROM ask LEFT JOIN titles a ON a.id = asked LEFT JOIN titles b ON b.id = string_split(asked, 'v')[1])
+    SELECT asked, hit.id, title, coalesce(in_degree, 0) AS citations, round(coalesce(pagerank, 0), 9) AS pagerank, community FROM hit JOIN titles ON titles.id = hit.id
+    LEFT JOIN deg ON deg.id = hit.id LEFT JOIN pr ON pr.id = hit.id LEFT JOIN com ON com.id = hit.id""",
+)
+def paper_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every arXiv id that references give, looked up among the papers."""
+    nodes, edges = corpus.graph_tables(spark, sf_dir)
+    asked = read_table(spark, sf_dir, "parsed_refs", "arxiv_id").where("arxiv_id is not null")
+    found = graph_retrieval.looked_up(
+        asked.select(F.col("arxiv_id").alias("asked")),
+        corpus.papers(spark, sf_dir),
+        graph.degrees(nodes, edges),
+        graph.pagerank(nodes, edges),
+        graph.communities(nodes, edges),
+    )
+    return found.withColumn("pagerank", F.round("pagerank", 9))
+
+
+def distances_sql(depth: int) -> str:
     steps = ["d0 AS MATERIALIZED (SELECT qid, id, 0 AS distance FROM seeds)"]
     for i in range(1, depth + 1):
         steps.append(
@@ -633,7 +691,7 @@ def distances_sql(depth: int = 2) -> str:
     return ", ".join(steps) + f", dist AS (SELECT * FROM d{depth})"
 
 
-@query("graph_distances", f"WITH {GRAPH_SQL}, {distances_sql()} SELECT * FROM dist")
+@query("graph_distances", f"WITH {GRAPH_SQL}, {distances_sql(2)} SELECT * FROM dist")
 def graph_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = corpus.graph_tables(spark, sf_dir)
     return graph.distances(corpus.seeds(nodes), edges, 2)
@@ -644,14 +702,27 @@ PROXIMITY_SQL = """near AS (SELECT qid, id, 1 / (1.0 + min(distance)) AS proximi
 
 @query(
     "graph_proximity",
-    f"WITH {GRAPH_SQL}, {distances_sql()}, {PROXIMITY_SQL} SELECT qid, id, round(proximity, 6) AS proximity FROM near",
+    f"WITH {GRAPH_SQL}, {distances_sql(12)}, {PROXIMITY_SQL} SELECT qid, id, round(proximity, 6) AS proximity FROM near",
 )
 def graph_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all papers that a stated paper reaches, however far."""
     nodes, edges = corpus.graph_tables(spark, sf_dir)
-    near = graph_retrieval.proximity(graph.distances(corpus.seeds(nodes), edges, 2))
+    near = graph_retrieval.proximity(graph.distances(corpus.seeds(nodes), edges))
     return near.withColumn("proximity", F.round("proximity", 6))
 
 
+@query(
+    "graph_pair_distances",
+    f"WITH {GRAPH_SQL}, {distances_sql(12)} SELECT qid, id, distance FROM dist SEMI JOIN (SELECT id AS other FROM seeds) ON id = other",
+)
+def graph_pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between the stated papers, meeting in the middle."""
+    nodes, edges = corpus.graph_tables(spark, sf_dir)
+    seeds = corpus.seeds(nodes)
+    pairs = seeds.select("qid").join(seeds.select("id"), how="cross")  # a stated set with itself
+    return graph.pair_distances(pairs, seeds, edges)
+
+
 # -- finding papers through the graph ----------------------------------------------
 
 EXPANSION_SQL = """ex_out AS (SELECT qid, id AS seed, dst AS id FROM seeds JOIN edges ON id = src),
@@ -672,8 +743,8 @@ def citation_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PEERS_SQL = """peers AS (
-  SELECT s.qid, m.id, p.pagerank FROM seeds s JOIN com c ON c.id = s.id JOIN com m ON m.community = c.community
-  JOIN pr p ON p.id = m.id WHERE m.id <> s.id),
+  SELECT DISTINCT s.qid, m.id, p.pagerank FROM seeds s JOIN com c ON c.id = s.id JOIN com m ON m.community = c.community
+  JOIN pr p ON p.id = m.id ANTI JOIN seeds x ON x.qid = s.qid AND x.id = m.id),
 peer_rank AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(pagerank, 12) DESC, id) AS rank,
   max(pagerank) OVER (PARTITION BY qid) AS best FROM peers),
 cp AS (SELECT qid, id, rank, pagerank / best AS score FROM peer_rank WHERE rank <= 33)"""
@@ -708,6 +779,28 @@ def walk_sql(steps: int = 5) -> str:
     wk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM wn) WHERE rank <= 33)"""
 
 
+def biased_walk_sql(steps: int = 5) -> str:
+    """The walk from sd, whose steps prefer papers like the query (sq.v)."""
+    parts = [
+        "lm AS MATERIALIZED (SELECT src, dst, count(*) AS m FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) GROUP BY ALL)",
+        "pv AS (SELECT regexp_replace(chunk_id, '_abstract$', '') AS id, v FROM vec WHERE ends_with(chunk_id, '_abstract'))",
+        """wt AS MATERIALIZED (SELECT sq.qid, l.id, CASE WHEN sq.v IS NULL THEN 1.0::double WHEN pv.v IS NULL THEN 0.1 ELSE greatest(round(list_dot_product(sq.v, pv.v), 9), 0.01) END AS w
+           FROM sq SEMI JOIN sd USING (qid), (SELECT DISTINCT src AS id FROM lm) l LEFT JOIN pv USING (id))""",
+        "wa AS MATERIALIZED (SELECT qid, src AS id, sum(w * m) AS a FROM lm JOIN wt ON wt.id = dst GROUP BY ALL)",
+        "w0 AS (SELECT qid, id, 1.0::double / count(*) OVER (PARTITION BY qid) AS mass FROM sd)",
+    ]
+    for i in range(1, steps + 1):
+        parts.append(
+            f"""w{i} AS MATERIALIZED (SELECT g.qid, g.id, g.mass * wt.w AS mass FROM (
+              SELECT p.qid, dst AS id, sum(p.mass / wa.a * m) AS mass FROM w{i - 1} p JOIN wa ON wa.qid = p.qid AND wa.id = p.id JOIN lm ON lm.src = p.id GROUP BY ALL) g
+              JOIN wt ON wt.qid = g.qid AND wt.id = g.id)"""
+        )
+    visits = " UNION ALL ".join(f"SELECT qid, id, mass / {i} AS v FROM w{i}" for i in range(1, steps + 1))
+    return ", ".join(parts) + f""", wv AS (SELECT qid, id, sum(v) AS v FROM ({visits}) GROUP BY qid, id),
+    wn AS (SELECT qid, id, round(v / max(v) OVER (PARTITION BY qid), 9) AS score FROM wv ANTI JOIN sd USING (qid, id)),
+    wk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM wn) WHERE rank <= 33)"""
+
+
 @query("expected_walk", f"WITH {GRAPH_SQL}, {walk_sql()} SELECT qid, id, rank, round(score, 6) AS score FROM wk")
 def expected_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = corpus.graph_tables(spark, sf_dir)
@@ -719,12 +812,9 @@ def expected_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- fusion and search ------------------------------------------------------------
 
 SEARCH_SQL = f"""
-titles AS (
-  SELECT arxiv_id AS id, arg_max(trim(title), (own, updated, title, published)) AS title FROM (
-    SELECT arxiv_id, title, published, updated, 1 AS own FROM papers
-    UNION ALL SELECT arxiv_id, title, published, '', 0 FROM reading_list) WHERE arxiv_id IS NOT NULL GROUP BY arxiv_id),
+{TITLES_SQL},
 ch AS MATERIALIZED (
-  SELECT chunk_id, max(arxiv_id) AS arxiv_id, max(text) AS body,
+  SELECT chunk_id, max(arxiv_id) AS arxiv_id, max(text) AS body, coalesce(max(paper_title), '') AS head,
     coalesce(max(paper_title), '') || ' ' || coalesce(max(section_name), '') || ' ' || coalesce(max(text), '') AS text
   FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
 vraw AS (SELECT chunk_id, any_value(embedding) AS e FROM vector_index
@@ -733,16 +823,24 @@ vd AS (SELECT chunk_id, list_transform(e, lambda x: x::double) AS v FROM vraw),
 vec AS MATERIALIZED (SELECT chunk_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM vd WHERE list_dot_product(v, v) > 0),
 paper_of AS MATERIALIZED (SELECT chunk_id AS key, max(arxiv_id) AS arxiv_id FROM (
   SELECT chunk_id, arxiv_id FROM vector_index UNION ALL SELECT chunk_id, arxiv_id FROM ch) GROUP BY chunk_id),
-sq AS MATERIALIZED (SELECT qid, titles.title AS query, v FROM seeds JOIN titles USING (id) JOIN vec ON chunk_id = id || '_abstract'),
+sq AS MATERIALIZED (SELECT qid, titles.title AS query, v FROM seeds JOIN titles USING (id) LEFT JOIN vec ON chunk_id = id || '_abstract' WHERE titles.title IS NOT NULL),
 dn AS MATERIALIZED (SELECT * FROM (
   SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (
-    SELECT qid, chunk_id, round(list_dot_product(sq.v, vec.v), 9) AS score FROM sq, vec)) WHERE rank <= 100),
+    SELECT qid, chunk_id, round(list_dot_product(sq.v, vec.v), 9) AS score FROM sq, vec WHERE sq.v IS NOT NULL)) WHERE rank <= 100),
 {bm25_sql('ch', 'chunk_id', 'sq', 100)},
 text_lists AS MATERIALIZED (
   SELECT qid, 'dense' AS source, 0 AS place, rank, chunk_id AS key, arxiv_id, 0.5 AS w FROM dn JOIN paper_of ON key = chunk_id
   UNION ALL SELECT qid, 'sparse', 1, rank, chunk_id, arxiv_id, 0.3 FROM b_top JOIN paper_of ON key = chunk_id)"""
 
-RELATED_SQL = f"""{communities_sql()}, {pagerank_sql()}, {PEERS_SQL}, {EXPANSION_SQL}, {walk_sql()}, {distances_sql()}, {PROXIMITY_SQL},
+
+
+def _from_dense(sql: str) -> str:
+    """The same from the papers of the first dense hits."""
+    return sql.replace("seeds", "sd")
+
+
+RELATED_SQL = f"""sd AS MATERIALIZED (SELECT DISTINCT qid, arxiv_id AS id FROM text_lists WHERE source = 'dense' AND rank <= 5 AND arxiv_id IS NOT NULL),
+{communities_sql()}, {pagerank_sql()}, {_from_dense(PEERS_SQL)}, {_from_dense(EXPANSION_SQL)}, {biased_walk_sql()}, {_from_dense(distances_sql(12))}, {PROXIMITY_SQL},
 graph_lists AS MATERIALIZED (
   SELECT l.qid, 'graph' AS source, 2 AS place, row_number() OVER (PARTITION BY l.qid ORDER BY list, rank) AS rank, id AS key, id AS arxiv_id, 0.2 AS w
   FROM (SELECT qid, id, rank, 0 AS list FROM ex UNION ALL SELECT qid, id, rank, 1 FROM wk UNION ALL SELECT qid, id, rank, 2 FROM cp) l SEMI JOIN sq ON l.qid = sq.qid)"""
@@ -761,8 +859,8 @@ FUSED_GRAPH_SQL = fused_sql("SELECT * FROM text_lists UNION ALL SELECT * FROM gr
 SCORED_SQL = """sc AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, old_rank) AS rank FROM (
     SELECT fg.qid, key, fg.arxiv_id, source, fg.rank AS old_rank, coalesce(pagerank, 0) AS pagerank, coalesce(proximity, 0) AS proximity,
-      round(0.5 * score + 0.2 * coalesce(pagerank, 0) / (SELECT max(pagerank) FROM pr) + 0.2 * coalesce(proximity, 0), 9) AS score
-    FROM fg LEFT JOIN pr ON pr.id = fg.arxiv_id LEFT JOIN near ON near.qid = fg.qid AND near.id = fg.arxiv_id))"""
+      CASE WHEN h.qid IS NULL THEN score ELSE round(0.5 * score + 0.2 * coalesce(pagerank, 0) / (SELECT max(pagerank) FROM pr) + 0.2 * coalesce(proximity, 0), 9) END AS score
+    FROM fg LEFT JOIN pr ON pr.id = fg.arxiv_id LEFT JOIN near ON near.qid = fg.qid AND near.id = fg.arxiv_id LEFT JOIN (SELECT DISTINCT qid FROM sd) h ON h.qid = fg.qid))"""
 ALL_SQL = f"{GRAPH_SQL}, {SEARCH_SQL}, {RELATED_SQL}, {FUSED_GRAPH_SQL}, {SCORED_SQL}"
 
 
@@ -771,7 +869,7 @@ ALL_SQL = f"{GRAPH_SQL}, {SEARCH_SQL}, {RELATED_SQL}, {FUSED_GRAPH_SQL}, {SCORED
     f"WITH {GRAPH_SQL}, {SEARCH_SQL} SELECT qid, rank, key, arxiv_id FROM text_lists WHERE source = 'dense' AND rank <= 20",
 )
 def search_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = Engine(spark, sf_dir)
+    engine = Engine(spark, search_index(spark, sf_dir))
     return engine.search(engine.paper_queries(), "dense").drop("score")
 
 
@@ -780,7 +878,7 @@ def search_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {GRAPH_SQL}, {SEARCH_SQL} SELECT qid, rank, key, arxiv_id FROM text_lists WHERE source = 'sparse' AND rank <= 20",
 )
 def search_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = Engine(spark, sf_dir)
+    engine = Engine(spark, search_index(spark, sf_dir))
     return engine.search(engine.paper_queries(), "sparse").drop("score")
 
 
@@ -789,7 +887,7 @@ def search_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {GRAPH_SQL}, {SEARCH_SQL}, {FUSED_SQL} SELECT qid, rank, key, arxiv_id, round(score, 6) AS score FROM fu WHERE rank <= 20",
 )
 def hybrid_no_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = Engine(spark, sf_dir)
+    engine = Engine(spark, search_index(spark, sf_dir))
     found = engine.search(engine.paper_queries(), "hybrid")
     return found.withColumn("score", F.round("score", 6))
 
@@ -799,18 +897,33 @@ def hybrid_no_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {GRAPH_SQL}, {SEARCH_SQL}, {RELATED_SQL}, {FUSED_GRAPH_SQL} SELECT qid, rank, key, source, round(score, 6) AS score FROM fg",
 )
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = Engine(spark, sf_dir)
-    found = engine.fused(engine.paper_queries(), True)
+    engine = Engine(spark, search_index(spark, sf_dir))
+    queries = engine.paper_queries()
+    found = engine.fused(queries, cut(engine.seeds(queries)))
     return found.select("qid", "rank", "key", "source", F.round("score", 6).alias("score"))
 
 
 @query("hybrid_search", f"WITH {ALL_SQL} SELECT qid, rank, key, arxiv_id, round(score, 6) AS score FROM sc WHERE rank <= 20")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = Engine(spark, sf_dir)
+    engine = Engine(spark, search_index(spark, sf_dir))
     found = engine.search(engine.paper_queries(), "hybrid_graph")
     return found.withColumn("score", F.round("score", 6))
 
 
+@query(
+    "search_excluding",
+    f"""WITH {GRAPH_SQL}, {SEARCH_SQL.replace("b_size GROUP BY qid, chunk_id", "b_size WHERE chunk_id NOT IN (SELECT key FROM paper_of WHERE paper_of.arxiv_id = qid) GROUP BY qid, chunk_id")},
+    kept AS (SELECT qid, source, place, row_number() OVER (PARTITION BY qid, source ORDER BY rank) AS rank, key, arxiv_id, w FROM text_lists WHERE arxiv_id IS DISTINCT FROM qid),
+    {fused_sql("SELECT * FROM kept", "fu")} SELECT qid, rank, key, arxiv_id, round(score, 6) AS score FROM fu WHERE rank <= 20""",
+)
+def search_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hybrid search without graph in which a paper doesn't find itself: left out after the cut of the dense list, before that of the sparse one."""
+    engine = Engine(spark, search_index(spark, sf_dir))
+    queries = engine.paper_queries()
+    own = queries.select("qid", F.col("qid").alias("arxiv_id"))
+    return engine.search(queries, "hybrid", excluded=own).withColumn("score", F.round("score", 6))
+
+
 @query(
     "recency_boost",
     """SELECT arxiv_id, updated, round(CASE WHEN try_cast(substring(published, 1, 4) AS int) IS NULL THEN 0.5
@@ -833,20 +946,20 @@ def _overlap(query_column: str, text_column: str):
     "rerank_cascade",
     f"""WITH {GRAPH_SQL}, {SEARCH_SQL}, {FUSED_SQL},
     t AS (SELECT fu.qid, fu.key, fu.rank, list_distinct({tokens_sql('sq.query')}) AS q,
-      {tokens_sql("substring(coalesce(ch.body, ''), 1, 512)")} AS d, count(*) OVER (PARTITION BY fu.qid) AS n
+      {tokens_sql("coalesce(ch.head, '') || '. ' || substring(coalesce(ch.body, ''), 1, 512)")} AS d, count(*) OVER (PARTITION BY fu.qid) AS n
       FROM fu JOIN sq USING (qid) LEFT JOIN ch ON ch.chunk_id = fu.key),
     s AS (SELECT qid, key, rank, CASE WHEN n > 20 THEN round(len(list_filter(q, lambda x: list_contains(d, x))) / greatest(len(q), 1)::double, 9) END AS s FROM t WHERE rank <= 100)
     SELECT qid, key, final_rank, round(s, 6) AS rerank_score FROM (
       SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC NULLS LAST, rank) AS final_rank FROM s) WHERE final_rank <= 10""",
 )
 def rerank_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = Engine(spark, sf_dir)
+    engine = Engine(spark, search_index(spark, sf_dir))
     queries = engine.paper_queries()
     texts = engine.chunks.select(
         F.col("chunk_id").alias("key"),
-        F.substring(F.coalesce("text", F.lit("")), 1, 512).alias("text"),
+        F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.substring(F.coalesce("text", F.lit("")), 1, 512)).alias("text"),
     )
-    found = engine.fused(queries, False).join(texts, "key", "left").join(queries.select("qid", "query"), "qid")
+    found = engine.fused(queries).join(texts, "key", "left").join(queries.select("qid", "query"), "qid")
     best = fusion.cascade(found, _overlap("query", "text"))
     return best.select("qid", "key", "final_rank", F.round("rerank_score", 6).alias("rerank_score"))
 
@@ -860,7 +973,7 @@ ENTRIES_SQL = """en AS (SELECT fu.qid, fu.rank, fu.key, fu.arxiv_id, coalesce(ti
 
 def _entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(qid, rank, key, arxiv_id, title, text, entry) of the hybrid search without graph, and the queries."""
-    engine = Engine(spark, sf_dir)
+    engine = Engine(spark, search_index(spark, sf_dir))
     queries = engine.paper_queries()
     found = engine.search(queries, "hybrid")
     texts = engine.chunks.select(F.col("chunk_id").alias("key"), "text")
@@ -945,7 +1058,7 @@ _METRICS = "p_at_1 p_at_5 p_at_10 p_at_20 r_at_5 r_at_10 r_at_20 mrr ndcg_10 ave
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of every method over all stated queries; relevant are the papers that a paper cites."""
-    engine = Engine(spark, sf_dir)
+    engine = Engine(spark, search_index(spark, sf_dir))
     queries = engine.paper_queries()
     results = None
     for method in METHODS:
@@ -953,7 +1066,7 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(method).alias("method"), "qid", "rank", F.col("arxiv_id").alias("item")
         )
         results = found if results is None else results.unionByName(found)
-    relevant = engine.graph[1].select(F.col("src").alias("qid"), F.col("dst").alias("item")).distinct()
+    relevant = engine.edges.select(F.col("src").alias("qid"), F.col("dst").alias("item")).distinct()
     return evaluation.ranking_metrics(results, relevant)
 
 
@@ -995,10 +1108,6 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-TITLES_SQL = """titles AS MATERIALIZED (
-  SELECT arxiv_id AS id, arg_max(trim(title), (own, updated, title, published)) AS title FROM (
-    SELECT arxiv_id, title, published, updated, 1 AS own FROM papers
-    UNION ALL SELECT arxiv_id, title, published, '', 0 FROM reading_list) WHERE arxiv_id IS NOT NULL GROUP BY arxiv_id)"""
 ENTITIES_SQL = f"""{TITLES_SQL},
 ent AS MATERIALIZED (SELECT id AS conv_id, 0 AS ord, regexp_extract(title, '^[^\\s:]+') AS short, title AS "full" FROM titles
   WHERE title IS NOT NULL AND regexp_extract(title, '^[^\\s:]+') <> '')"""
