@@ -30,6 +30,8 @@ GLYPHS = {"c": "e", "a": "o", "0": "o", "1": "i", "l": "i", "f": "t", "5": "s",
 PAIRS = [("vv", "w"), ("rn", "m"), ("in", "m"), ("ri", "n"), ("ei", "d"), ("ii", "h"), ("ti", "h")]
 #: Frequent words that are taken out of a text before anything is joined; a bound on a broadcast.
 KNOWN_WORDS = 20_000
+#: Share of all words from which a word of two glyphs is usual enough to be misread.
+USUAL = 0.001
 
 
 def skeletons(word: Column) -> Column:
@@ -54,15 +56,20 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"))
 
 
-def dictionary(extracted: DataFrame, least: int) -> DataFrame:
-    """(word, n, plain): words used at least so often in papers without signs of scanning.
+def clean_tokens(extracted: DataFrame) -> DataFrame:
+    """(w): the words of every paper without signs of scanning, in order, as written."""
+    clean = extracted.where("full_text is not null").where(~looks_scanned(F.col("full_text")))
+    return clean.select(_tokens(F.col("full_text")).alias("w"))
+
+
+def dictionary(tokens: DataFrame, least: int) -> DataFrame:
+    """(word, n, plain): words used at least so often in clean_tokens.
 
     word is in lower case; plain says that it is written so at least so often,
     which tells words from names.
     """
-    clean = extracted.where("full_text is not null").where(~looks_scanned(F.col("full_text")))
     return (
-        clean.select(F.explode(_tokens(F.col("full_text"))).alias("t"))
+        tokens.select(F.explode("w").alias("t"))
         .groupBy("t")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("t").rlike(r"\p{L}"))
@@ -74,10 +81,14 @@ def dictionary(extracted: DataFrame, least: int) -> DataFrame:
 
 
 def scanned_lines(extracted: DataFrame) -> DataFrame:
-    """(arxiv_id, field, section_no, line_no, line, heading) of suspicious papers, one text a field."""
+    """(arxiv_id, field, section_no, line_no, line, heading) of suspicious papers, one text a field.
+
+    A paper is judged by its full text, without one by its sections and references.
+    """
+    parts = F.concat_ws("\n\n", F.col("sections")["text"], "references_text")
     one = (
-        extracted.where("arxiv_id is not null and full_text is not null")
-        .where(looks_scanned(F.col("full_text")))
+        extracted.where("arxiv_id is not null")
+        .where(looks_scanned(F.coalesce("full_text", parts)))
         .select("arxiv_id", "full_text", "references_text", "sections")
         .dropDuplicates(["arxiv_id"])
     )
@@ -146,13 +157,13 @@ def at_page_breaks(lines: DataFrame) -> DataFrame:
     )
 
 
-def furniture(lines: DataFrame, papers: int = 3) -> DataFrame:
+def furniture(lines: DataFrame, papers: int = 3, share: float = 0.001) -> DataFrame:
     """lines of at_page_breaks with furniture: whether the line is a header, footer or page number.
 
     A masked line is furniture of its paper if it is short, ends in no sentence
     and comes back at page breaks and hardly elsewhere, never twice in a row; a
-    line that comes only once must be furniture of `papers` papers, a beginning
-    of the title or 'name et al.'.
+    line that comes only once must be furniture of `papers` papers and of a
+    share of all papers of lines, a beginning of the title or 'name et al.'.
     Lines at page breaks that differ from it by a misread glyph or two are, too.
     """
     short = (
@@ -174,7 +185,14 @@ def furniture(lines: DataFrame, papers: int = 3) -> DataFrame:
         .where("breaks > 0 and rows = 0 and breaks >= 0.7 * n")
     )
     repeated = use.where("breaks >= 2").select("arxiv_id", "mask")
-    common = repeated.groupBy("mask").count().where(F.col("count") >= papers).select("mask")
+    several = lines.agg(F.approx_count_distinct("arxiv_id").alias("all"))
+    common = (
+        repeated.groupBy("mask")
+        .count()
+        .join(F.broadcast(several), how="cross")  # one row
+        .where((F.col("count") >= papers) & (F.col("count") >= share * F.col("all")))
+        .select("mask")
+    )
     named = use.where(F.col("titled") | F.col("mask").rlike(r"^\p{L}+ et al\.?$")).select("arxiv_id", "mask")
     once = use.where("breaks = 1").join(common, "mask", "left_semi").select("arxiv_id", "mask")
     marks = repeated.unionByName(named).unionByName(once).distinct()
@@ -214,11 +232,13 @@ def corrections(unknown: DataFrame, words: DataFrame) -> DataFrame:
 
     unknown has one column, word. The dictionary word must not be a name and be
     like the unknown one in length and most glyphs; words of two glyphs are only
-    taken for one of the hundred most frequent words.
+    taken for a word that is a thousandth of all words.
     """
-    usual = words.orderBy(F.desc("n"), "word").limit(100).select("word", F.lit(True).alias("usual"))
-    known = words.join(F.broadcast(usual), "word", "left").where("plain").where(
-        (F.length("word") >= 3) | F.col("usual")
+    total = words.agg(F.sum("n").alias("total"))
+    known = (
+        words.join(F.broadcast(total), how="cross")  # one row
+        .withColumn("usual", F.col("n") >= USUAL * F.col("total"))
+        .where(F.col("plain") & ((F.length("word") >= 3) | F.col("usual")))
     )
     known = known.select(
         "usual",
@@ -317,13 +337,13 @@ def unknown_words(lines: DataFrame, frequent: DataFrame) -> DataFrame:
 
 
 def in_context(
-    found: DataFrame, options: DataFrame, frequent: DataFrame, extracted: DataFrame
+    found: DataFrame, options: DataFrame, frequent: DataFrame, tokens: DataFrame
 ) -> DataFrame:
     """(document, line_no, word, right): the best dictionary word for each unknown word.
 
-    found has (document, line_no, word, before, after). Where a word has several
-    options, the option that more often stands next to the same neighbours in
-    papers without signs of scanning wins, then the one with fewest changes,
+    found has (document, line_no, word, before, after), tokens is of
+    clean_tokens. Where a word has several options, the option that more often
+    stands next to the same neighbours in these wins, then the one with fewest changes,
     then the more frequent one. Neighbours of frequent options, of which there are
     at most KNOWN_WORDS, are sifted out by a broadcast before they are counted;
     those of the rest by a shuffle.
@@ -341,9 +361,7 @@ def in_context(
     rights = frequent.select("word").join(
         open_.select(F.col("right").alias("word")).distinct(), "word", "left_semi"
     )
-    clean = extracted.where("full_text is not null").where(~looks_scanned(F.col("full_text")))
-    tokens = clean.select(_tokens(F.lower("full_text")).alias("w"))
-    pairs = tokens.select(
+    pairs = tokens.select(F.transform("w", lambda t: F.lower(t)).alias("w")).select(
         F.explode(
             F.transform(
                 F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))),
@@ -395,7 +413,8 @@ def repairs(extracted: DataFrame, least: int = 5) -> tuple[DataFrame, DataFrame]
     papers without signs of scanning have no repairs; repeated extractions of a
     paper count once.
     """
-    words = cut(dictionary(extracted, least))
+    tokens = cut(clean_tokens(extracted))
+    words = cut(dictionary(tokens, least))
     frequent = cut(words.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).select("word"))
     lines = cut(furniture(at_page_breaks(scanned_lines(extracted))))
     text = cut(with_neighbours(lines))
@@ -403,7 +422,7 @@ def repairs(extracted: DataFrame, least: int = 5) -> tuple[DataFrame, DataFrame]
     found = cut(unknown_words(text, frequent).join(words.select("word"), "word", "left_anti"))
     unknown = found.select("word").unionByName(broken.where(~F.col("known")).select("word"))
     options = cut(corrections(unknown, words))
-    misread = in_context(found, options, frequent, extracted)
+    misread = in_context(found, options, frequent, tokens)
     likeliest = options.groupBy("word").agg(
         F.min_by("right", F.struct(F.levenshtein("word", "right"), -F.col("support"), "right")).alias("right")
     )
@@ -428,17 +447,48 @@ def repairs(extracted: DataFrame, least: int = 5) -> tuple[DataFrame, DataFrame]
     return every.distinct(), lines
 
 
+def _cased(word: Column, as_: Column) -> Column:
+    """A lower-case word in capitals or with a capital, if as_ is written so."""
+    capital = F.concat(F.upper(F.substring(word, 1, 1)), F.substr(word, F.lit(2)))
+    return (
+        F.when(F.lower(as_) == word, as_)
+        .when((F.length(as_) > 1) & (as_ == F.upper(as_)) & (as_ != F.lower(as_)), F.upper(word))
+        .when(as_.rlike(r"^\p{Lu}"), capital)
+        .otherwise(word)
+    )
+
+
+def _corrected(line: Column, wrong: Column) -> Column:
+    """line with each stored word of wrong (stored, word) replaced, capitals kept."""
+
+    def capital(word: Column) -> Column:
+        return F.concat(F.upper(F.substring(word, 1, 1)), F.substr(word, F.lit(2)))
+
+    def replaced(text: Column, stored: Column, word: Column, flags: str = "(?u)") -> Column:
+        pattern = F.concat(F.lit(flags + r"(?<![\p{L}\p{N}])"), stored, F.lit(r"(?![\p{L}\p{N}])"))
+        return F.regexp_replace(text, pattern, word)
+
+    def step(text: Column, w: Column) -> Column:
+        text = replaced(text, F.upper(w["stored"]), F.upper(w["word"]))
+        text = replaced(text, capital(w["stored"]), capital(w["word"]))
+        return replaced(text, w["stored"], w["word"], "(?iu)")
+
+    none = F.array().cast("array<struct<stored:string,word:string>>")
+    return F.aggregate(F.coalesce(wrong, none), line, step)
+
+
 def reflowed(extracted: DataFrame) -> DataFrame:
     """(arxiv_id, field, section_no, paragraph_no, text): repaired paragraphs of scanned papers.
 
     Furniture is gone, broken words are whole, misread words right, and the
-    lines of a paragraph are one line. A blank line next to furniture is a page
+    lines of a paragraph are one line. Words keep their capitals; a broken word
+    stands where its first half stood. A blank line next to furniture is a page
     break and ends no paragraph; headings are paragraphs of their own. Papers
     without signs of scanning are not listed.
     """
     every, lines = repairs(extracted)
     key = [*_DOCUMENT, "line_no"]
-    joints = every.where("kind = 'hyphen'").select(*key, F.col("stored").alias("joint"))
+    whole = every.where("kind = 'hyphen'").select(*key, F.col("word").alias("whole"), F.col("stored").alias("joint"))
     wrong = (
         every.where("kind = 'misread'")
         .groupBy(*key)
@@ -450,26 +500,39 @@ def reflowed(extracted: DataFrame) -> DataFrame:
     )
     starts = (F.col("blank") & ~beside) | F.col("heading")
     after = F.coalesce(F.lag("heading").over(order), F.lit(False))
+    # the halves of a broken word, as broken_words takes them
+    stem = F.regexp_extract("line", rf"((?:[\p{{L}}\p{{N}}]+[-'’‐])*[\p{{L}}\p{{N}}]+)[{BREAK_MARKS}]\s*$", 1)
+    rest = F.regexp_extract("following", rf"^[^\p{{L}}\p{{N}}]{{0,2}}({WORD})", 1)
     numbered = (
         lines.withColumn("_start", (starts | after).cast("int"))
         .withColumn("paragraph_no", F.sum("_start").over(order))
         .where(~F.col("blank") & ~F.col("furniture"))
-        .join(joints, key, "left")
+        .join(whole, key, "left")
         .join(wrong, key, "left")
-    )
-    right = F.aggregate(
-        F.coalesce("wrong", F.array().cast("array<struct<stored:string,word:string>>")),
-        F.trim("line"),
-        lambda line, w: F.regexp_replace(
-            line, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), w["stored"], F.lit(r"(?![\p{L}\p{N}])")), w["word"]
-        ),
-    )
-    piece = F.when(
-        F.col("joint").isNotNull(),
-        F.concat(F.regexp_replace(right, rf"[{BREAK_MARKS}]\s*$", ""), F.col("joint")),
-    ).otherwise(F.concat(right, F.lit(" ")))
+        .withColumn("following", F.lead("line").over(order))
+        .withColumn("taken", F.coalesce(F.lag("whole").over(order).isNotNull(), F.lit(False)))
+    )
+    # what the line before took of this one is gone; what this one breaks is written whole
+    opened = F.when(
+        F.col("taken"), F.regexp_replace("line", rf"^[^\p{{L}}\p{{N}}]{{0,2}}{WORD}", "")
+    ).otherwise(F.col("line"))
+    body = F.when(
+        F.col("whole").isNotNull(),
+        F.regexp_replace(opened, rf"(?:[\p{{L}}\p{{N}}]+[-'’‐])*[\p{{L}}\p{{N}}]+[{BREAK_MARKS}]\s*$", ""),
+    ).otherwise(opened)
+    body = F.when(F.col("taken"), F.rtrim(body)).otherwise(F.trim(body))
+    written = _cased(F.col("whole"), F.concat(stem, "joint", rest))
+    text = _corrected(F.col("_body"), F.col("wrong"))
+    blank = F.when((text != "") & ~text.rlike(r"\s$"), " ").otherwise("")
+    piece = F.when(F.col("whole").isNotNull(), F.concat(text, blank, F.col("_written"))).otherwise(
+        F.concat(text, F.lit(" "))
+    )
+    # a half that hangs on a compound of the same line has no blank before it
+    glued = body.rlike(r"[-'’‐]$")
+    piece = F.when(F.col("whole").isNotNull() & F.col("_glued"), F.concat(text, F.col("_written"))).otherwise(piece)
     return (
-        numbered.groupBy(*_DOCUMENT, "paragraph_no")
+        numbered.withColumns({"_body": body, "_written": written, "_glued": glued})
+        .groupBy(*_DOCUMENT, "paragraph_no")
         .agg(F.array_sort(F.collect_list(F.struct("line_no", piece.alias("piece")))).alias("p"))
         .select(*_DOCUMENT, "paragraph_no", F.trim(F.array_join("p.piece", "")).alias("text"))
     )

@@ -53,6 +53,34 @@ def test_reflow(spark):
     assert len(rows) == 3
 
 
+def test_reflow_shows_every_repair_and_keeps_capitals(spark):
+    scan = """Another Title of Work
+Ann Arber
+
+Abstract
+Evidcnce of the second stage is com-
+pared with every answer. The SECOND Stagc of the frarne-
+work, compared with the question, is short. Evi-
+dence of every Answcr
+is compared."""
+    df = frame(spark, [("t", scan, None, None, 1)])
+    every, _ = scans.repairs(df)
+    text = " ".join(r.text for r in scans.reflowed(df).where("arxiv_id = 't'").orderBy("paragraph_no").collect())
+    assert text.endswith(
+        "Evidence of the second stage is compared with every answer. The SECOND Stage of the framework,"
+        " compared with the question, is short. Evidence of every Answer is compared."
+    )
+    for r in every.where("arxiv_id = 't' and kind <> 'furniture'").collect():
+        assert r.word in text.lower()
+
+
+def test_a_paper_without_full_text_is_repaired(spark):
+    body = SCANNED.split("Abstract\n")[1]
+    df = frame(spark, [("u", None, None, [("Abstract", body, 1, 3), (None, None, 1, 1)], 1)])
+    found = scans.repairs(df)[0].where("arxiv_id = 'u'").select("field", "kind").distinct().collect()
+    assert ("section", "hyphen") in {tuple(r) for r in found}
+
+
 def test_no_scans_no_repairs(spark):
     assert scans.repairs(frame(spark).where("arxiv_id like 'c%'"))[0].count() == 0
     assert scans.repairs(frame(spark).limit(0))[0].count() == 0
@@ -76,4 +104,4 @@ def test_context_counts_for_options_that_are_not_frequent(spark):
     options = spark.createDataFrame([("stagc", "stage", 5), ("stagc", "stags", 100)], "word string, right string, support bigint")
     for frequent in (["stage", "stags"], ["stags"], []):
         known = spark.createDataFrame([(w,) for w in frequent], "word string")
-        assert [r.right for r in scans.in_context(found, options, known, extracted).collect()] == ["stage"]
+        assert [r.right for r in scans.in_context(found, options, known, scans.clean_tokens(extracted)).collect()] == ["stage"]
