@@ -10,6 +10,7 @@ from lexigraph.operators.fusion import first_seen
 
 # Characters of a context, and the least that is worth a cut entry.
 BUDGET, LEAST = 8000, 200
+NOTHING = "No relevant passages were found."
 
 
 def context(results: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -45,15 +46,17 @@ def paper_list(results: DataFrame) -> DataFrame:
     )
 
 
-def extract_answer(results: DataFrame, k: int = 5) -> DataFrame:
+def extract_answer(results: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(qid, answer): the extracts of the best k results' papers; the answer without a generator.
 
-    Queries without results are missing.
+    queries has qid; a query without results gets NOTHING.
     """
     shown = first_seen(results.where(F.col("rank") <= k))
     line = F.concat(F.lit("**"), "title", F.lit("** ("), "arxiv_id", F.lit(")\n"), snippet(F.col("text")))
     lines = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
     head = F.lit("Relevant passages:\n\n")
-    return shown.groupBy("qid").agg(lines.alias("l")).select(
+    found = shown.groupBy("qid").agg(lines.alias("l")).select(
         "qid", F.concat(head, F.array_join("l.line", "\n\n")).alias("answer")
     )
+    every = queries.select("qid").join(found, "qid", "left")
+    return every.withColumn("answer", F.coalesce("answer", F.lit(NOTHING)))

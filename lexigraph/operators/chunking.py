@@ -15,13 +15,8 @@ PARAGRAPH_LEAST = 10
 SKIPPED = ["references", "reference", "bibliography"]
 
 
-def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """Overlapping word windows; up to `size` words the text as it is, '' for none.
-
-    The last window ends with the text: ceil((n - overlap) / (size - overlap))
-    windows for n > size words.
-    """
-    w, step = words(text), size - overlap
+def _windows(w: Column, text: Column, size: int, overlap: int) -> Column:
+    step = size - overlap
     count = F.ceil((F.size(w) - overlap) / step).cast("int")
     cut = F.transform(
         F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))),
@@ -30,6 +25,21 @@ def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     return F.when(F.size(w) > size, cut).otherwise(F.array(text))
 
 
+def windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """Overlapping word windows; up to `size` words the text as it is, '' for none.
+
+    The last window ends with the text: ceil((n - overlap) / (size - overlap))
+    windows for n > size words.
+    """
+    return _windows(words(text), text, size, overlap)
+
+
+def word_windows(documents: DataFrame, key: str, text: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """(key, piece, text): the windows of each text; its words are a column of their own, split once."""
+    split = documents.where(F.col(text).isNotNull()).select(key, text, words(F.col(text)).alias("_w"))
+    return split.select(key, F.posexplode(_windows(F.col("_w"), F.col(text), size, overlap)).alias("piece", "text"))
+
+
 def paragraphs(text: Column, delimiter: str = r"\n\s*\n") -> Column:
     """Paragraphs of at least ten words; the whole text if there are none."""
     parts = F.filter(

@@ -99,6 +99,19 @@ def p4_cited_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         "src", "arxiv_id"
     )
 
+
+@query(
+    "p4_list_digests",
+    f"""WITH {PAIRS_SQL} SELECT src AS arxiv_id, count(*) AS n, sum(('0x' || substring(md5(dst), 1, 8))::bigint)::bigint AS digest FROM pairs GROUP BY src""",
+)
+def p4_list_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of every list hold together: the number of its ids and a sum of their digests."""
+    pieces = hot_keys.lists_per_key(_pairs(spark, sf_dir), "src", "dst")
+    ids = pieces.select(F.col("src").alias("arxiv_id"), F.explode("values").alias("dst"))
+    digest = F.conv(F.substring(F.md5("dst"), 1, 8), 16, 10).cast("bigint")
+    return ids.groupBy("arxiv_id").agg(F.count(F.lit(1)).alias("n"), F.sum(digest).alias("digest"))
+
+
 # -- lexical ranking --------------------------------------------------------------
 
 BLANK_SQL = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -477,23 +490,111 @@ def citation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, i AS piece, CASE WHEN len(w) > 512 THEN array_to_string(list_slice(w, i * 410 + 1, i * 410 + 512), ' ') ELSE text END AS text FROM i""",
 )
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null")
-    return docs.select("doc_id", F.posexplode(chunking.windows(F.col("text"))).alias("piece", "text"))
+    return chunking.word_windows(read_table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def _words_sql(t: str) -> str:
+    return f"len(list_filter(regexp_split_to_array({t}, '{BLANK_SQL}'), lambda w: w <> ''))"
+
+
+# a fold over the paragraphs p of each k of ps; fold_out (k, piece, text) are its chunks
+FOLD_SQL = f"""fold AS (
+  SELECT k, 0 AS i, ''::varchar AS cur, 0 AS closed, NULL::varchar AS out FROM ps
+  UNION ALL
+  SELECT k, i + 1, CASE WHEN too_long THEN array_to_string(list_slice(cw, greatest(len(cw) - 101, 1), len(cw)), ' ') || chr(10) || chr(10) || nxt
+      WHEN cur = '' THEN nxt ELSE cur || chr(10) || chr(10) || nxt END, closed + too_long::int, CASE WHEN too_long THEN cur END
+  FROM (SELECT *, cur <> '' AND len(cw) + {_words_sql('nxt')} > 512 AS too_long FROM (
+    SELECT f.k, i, cur, closed, p[i + 1] AS nxt, list_filter(regexp_split_to_array(cur, '{BLANK_SQL}'), lambda w: w <> '') AS cw
+    FROM fold f JOIN ps ON ps.k = f.k WHERE i < len(p)))),
+fold_out AS (SELECT k, closed - 1 AS piece, out AS text FROM fold WHERE out IS NOT NULL
+  UNION ALL SELECT f.k, closed, cur FROM fold f JOIN ps ON ps.k = f.k WHERE i = len(p) AND {_words_sql('cur')} >= 50)"""
 
 
-@query("chunk_paragraph_merge")
+def paragraphs_sql(text: str, split: str) -> str:
+    good = f"list_filter(list_transform({split}, lambda x: trim(x)), lambda x: {_words_sql('x')} >= 10)"
+    return f"CASE WHEN len({good}) > 0 THEN {good} ELSE [{text}] END"
+
+
+@query(
+    "chunk_paragraph_merge",
+    f"""WITH RECURSIVE ps AS MATERIALIZED (SELECT doc_id AS k, {paragraphs_sql('text', 'string_split(text, chr(10))')} AS p FROM documents WHERE text IS NOT NULL),
+    {FOLD_SQL} SELECT k AS doc_id, piece, text FROM fold_out""",
+)
 def chunk_paragraph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text").where("text is not null")
     merged = chunking.merged_paragraphs(F.col("text"), delimiter="\n")
     return docs.select("doc_id", F.posexplode(merged).alias("piece", "text"))
 
 
-@query("chunk_pipeline")
+@query(
+    "chunk_pipeline",
+    f"""WITH RECURSIVE one AS MATERIALIZED (SELECT arxiv_id, any_value(abstract) AS abstract, any_value(sections) AS sections FROM extracted WHERE arxiv_id IS NOT NULL GROUP BY 1),
+    sec AS (SELECT arxiv_id, generate_subscripts(sections, 1) - 1 AS ord, unnest(sections) AS s FROM one),
+    us AS MATERIALIZED (SELECT arxiv_id, ord, arxiv_id || '#' || ord AS k, coalesce(s.name, '') AS section_name, s.text AS text, {_words_sql('s.text')} AS n FROM sec
+      WHERE s.text IS NOT NULL AND {_words_sql('s.text')} >= 50 AND lower(trim(coalesce(s.name, ''))) NOT IN ('references', 'reference', 'bibliography')),
+    ps AS MATERIALIZED (SELECT k, {paragraphs_sql('text', "string_split_regex(text, '" + chr(92) + "n" + chr(92) + "s*" + chr(92) + "n')")} AS p FROM us WHERE n > 512),
+    {FOLD_SQL},
+    pc AS (SELECT arxiv_id, ord, section_name, 'section' AS chunk_type, 0 AS piece, text FROM us WHERE n <= 512
+      UNION ALL SELECT arxiv_id, ord, section_name, 'paragraph', f.piece, f.text FROM us JOIN fold_out f USING (k)),
+    nm AS (SELECT *, substring(lower(regexp_replace(trim(regexp_replace(section_name, '[^a-zA-Z0-9{chr(92)}s]', '', 'g')), '{chr(92)}s+', '_', 'g')), 1, 50) AS name FROM pc),
+    bs AS (SELECT *, arxiv_id || '_' || name || CASE WHEN chunk_type = 'paragraph' THEN '_p' || piece ELSE '' END AS base FROM nm),
+    bd AS (SELECT *, row_number() OVER (PARTITION BY arxiv_id, base ORDER BY ord, piece) AS nth, row_number() OVER (PARTITION BY arxiv_id ORDER BY ord, piece) AS at_ FROM bs),
+    made AS (SELECT arxiv_id, arxiv_id || '_abstract' AS chunk_id, 'Abstract' AS section_name, 'abstract' AS chunk_type, 0 AS position, trim(abstract) AS text FROM one WHERE {_words_sql('abstract')} >= 50
+      UNION ALL SELECT arxiv_id, CASE WHEN nth = 1 THEN base ELSE base || '_' || nth END, section_name, chunk_type, at_ - 1 + coalesce(({_words_sql('abstract')} >= 50)::int, 0), text FROM bd JOIN one USING (arxiv_id)),
+    ev AS (SELECT arxiv_id, concat_ws(chr(10) || chr(10), abstract, array_to_string(list_transform(sections, lambda s: s.text), chr(10) || chr(10))) AS text FROM one ANTI JOIN made USING (arxiv_id)),
+    ew AS (SELECT *, list_filter(regexp_split_to_array(text, '{BLANK_SQL}'), lambda x: x <> '') AS w FROM ev),
+    ei AS (SELECT *, unnest(generate_series(0, CASE WHEN len(w) > 512 THEN ceil((len(w) - 102) / 410.0)::int ELSE 1 END - 1)) AS i FROM ew)
+    SELECT * FROM made UNION ALL SELECT arxiv_id, arxiv_id || '_chunk_' || i, 'Full Text', 'text', i,
+      CASE WHEN len(w) > 512 THEN array_to_string(list_slice(w, i * 410 + 1, i * 410 + 512), ' ') ELSE text END FROM ei WHERE trim(text) <> ''""",
+)
 def chunk_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "extracted", "arxiv_id", "abstract", "sections")
     return chunking.chunks(rows.where("arxiv_id is not null").dropDuplicates(["arxiv_id"]))
 
 
+@query("chunk_metadata")
+def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of the pipeline with their paper's title, authors and date, and what an encoder gets."""
+    return chunking.with_metadata(chunk_pipeline(spark, sf_dir), corpus.metadata(spark, sf_dir))
+
+
+@query(
+    "embedding_texts",
+    """SELECT chunk_id, position, 'Title: ' || coalesce(paper_title, '') || chr(10) || 'Section: ' || coalesce(section_name, '') || chr(10) || coalesce(text, '') AS embedding_text FROM chunks""",
+)
+def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [F.coalesce(c, F.lit("")).alias(c) for c in ("paper_title", "section_name", "text")]
+    rows = read_table(spark, sf_dir, "chunks", "chunk_id", "position", "paper_title", "section_name", "text")
+    filled = rows.select("chunk_id", "position", *columns)
+    return filled.select("chunk_id", "position", chunking.embedding_text("paper_title", "section_name", "text").alias("embedding_text"))
+
+
+@query(
+    "titles_cleaned",
+    r"""SELECT arxiv_id, updated, trim(regexp_replace(regexp_replace(title, '(?i)arxiv:\s*\d{4}\.\d{4,5}(v\d+)?(\s*\[[^\]]*\])?', '', 'g'), '\s+', ' ', 'g')) AS title FROM papers""",
+)
+def titles_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "papers", "arxiv_id", "updated", "title")
+    return rows.select("arxiv_id", "updated", tx.clean_title(F.col("title")).alias("title"))
+
+
+@query(
+    "duplicate_counters",
+    """SELECT 'vector_index' AS source, count(*) AS rows, count(DISTINCT chunk_id) AS distinct_ids, count(*) - count(DISTINCT chunk_id) AS repeated FROM vector_index
+    UNION ALL SELECT 'chunks', count(*), count(DISTINCT chunk_id), count(*) - count(DISTINCT chunk_id) FROM chunks""",
+)
+def duplicate_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored rows and distinct ids: what an upsert skips or overwrites."""
+    every = None
+    for name in ("vector_index", "chunks"):
+        ids = read_table(spark, sf_dir, name, "chunk_id")
+        one = ids.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).agg(
+            F.lit(name).alias("source"), F.sum("n").alias("rows"), F.count("chunk_id").alias("distinct_ids")
+        )
+        every = one if every is None else every.unionByName(one)
+    return every.withColumn("repeated", F.col("rows") - F.col("distinct_ids"))
+
+
 @query(
     "chunk_names",
     r"""SELECT section_name, count(*) AS n, substring(lower(regexp_replace(trim(regexp_replace(section_name,
@@ -1012,12 +1113,37 @@ def papers_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.paper_list(_entries(spark, sf_dir)[0])
 
 
-@query("fallback_answer")
+SNIPPET_SQL = """CASE WHEN length(flat) > 300 THEN regexp_replace(substring(flat, 1, 300), '\\s+\\S*$', '') || '...' ELSE flat END"""
+FLAT_SQL = """trim(regexp_replace(regexp_replace(regexp_replace(body, '\\.{3,}', ' ', 'g'), '(\\d+(\\.\\d+)?±\\d+(\\.\\d+)?\\s*)+', '[table data] ', 'g'), '\\s+', ' ', 'g'))"""
+ANSWERS_SQL = f"""sh AS (SELECT *, {FLAT_SQL} AS flat FROM (SELECT *, row_number() OVER (PARTITION BY qid, arxiv_id ORDER BY rank) AS r FROM en WHERE rank <= 5) WHERE r = 1),
+an AS MATERIALIZED (SELECT sq.qid, coalesce(answer, 'No relevant passages were found.') AS answer FROM sq LEFT JOIN (
+  SELECT qid, 'Relevant passages:' || chr(10) || chr(10) || string_agg('**' || title || '** (' || arxiv_id || ')' || chr(10) || {SNIPPET_SQL}, chr(10) || chr(10) ORDER BY rank) AS answer
+  FROM sh GROUP BY qid) USING (qid))"""
+
+
+@query("fallback_answer", f"WITH {GRAPH_SQL}, {SEARCH_SQL}, {FUSED_SQL}, {ENTRIES_SQL}, {ANSWERS_SQL} SELECT qid, answer FROM an")
 def fallback_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.extract_answer(_entries(spark, sf_dir)[0])
+    entries, queries = _entries(spark, sf_dir)
+    return answers.extract_answer(entries, queries)
 
 
-@query("answer_quality")
+QUALITY_SQL = f"""{ANSWERS_SQL},
+tx AS (SELECT qid, list(body ORDER BY rank) AS texts, string_agg(body, chr(10) ORDER BY rank) AS context FROM en GROUP BY qid),
+aq AS (SELECT an.qid, query, answer, texts, lower(context) AS context,
+  list_distinct(list_filter(regexp_split_to_array(lower(query), '{BLANK_SQL}'), lambda w: length(w) > 3)) AS asked FROM an JOIN tx USING (qid) JOIN sq USING (qid)),
+st AS (SELECT qid, context, unnest(list_filter(list_transform(string_split(answer, '.'), lambda x: trim(x)), lambda x: length(x) > 10)) AS sentence FROM aq),
+sw AS (SELECT qid, context, list_distinct(list_filter(regexp_split_to_array(lower(sentence), '{BLANK_SQL}'), lambda w: length(w) > 4)) AS w FROM st),
+fa AS (SELECT qid, avg((len(w) = 0 OR len(list_filter(w, lambda x: contains(context, x))) / len(w) > 0.3)::int) AS faithfulness FROM sw GROUP BY qid)"""
+
+
+@query(
+    "answer_quality",
+    f"""WITH {GRAPH_SQL}, {SEARCH_SQL}, {FUSED_SQL}, {ENTRIES_SQL}, {QUALITY_SQL}
+    SELECT aq.qid, round(coalesce(faithfulness, 0), 6)::double AS faithfulness,
+      round(CASE WHEN len(asked) = 0 THEN 0.5 ELSE len(list_intersect(asked, regexp_split_to_array(lower(answer), '{BLANK_SQL}'))) / len(asked) END, 6)::double AS relevance,
+      round(CASE WHEN len(asked) = 0 THEN 0.5 ELSE len(list_filter(texts, lambda t: len(list_filter(asked, lambda w: contains(lower(t), w))) / len(asked) > 0.2)) / len(texts) END, 6)::double AS context_precision
+    FROM aq LEFT JOIN fa ON fa.qid = aq.qid""",
+)
 def answer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faithfulness, relevance and context precision of the extract answers of all stated queries."""
     entries, queries = _entries(spark, sf_dir)
@@ -1025,7 +1151,7 @@ def answer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = entries.groupBy("qid").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts")
     )
-    answered = answers.extract_answer(entries).join(texts, "qid").join(queries.select("qid", "query"), "qid")
+    answered = answers.extract_answer(entries, queries).join(texts, "qid").join(queries.select("qid", "query"), "qid")
     context = F.array_join("texts", "\n")
     return answered.select(
         "qid",
