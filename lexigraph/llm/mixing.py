@@ -18,6 +18,8 @@ from lexigraph.session import cut
 
 #: Tasks over which one source, or one mix, is spread.
 BUCKETS = 1024
+#: Rows (mix, source, use) from which they are no longer broadcast.
+MANY_USES = 50_000
 
 
 def source_key(source: Column) -> Column:
@@ -99,8 +101,10 @@ def mixed(
         "use", F.explode(F.sequence(F.lit(0), F.col("max_repeats") - 1))
     ).where("horizon is null or use * supply / weight <= horizon")
     finish = (F.col("use") * F.col("supply") + F.col("upto")) / F.col("weight")
+    # a few mixes of a few sources, times repeats; more are joined like any table
+    few = uses.limit(MANY_USES).count() < MANY_USES
     queue = (
-        order.join(F.broadcast(uses), "source")  # a few mixes of a few sources, times repeats
+        order.join(F.broadcast(uses) if few else uses, "source")
         .withColumn("finish", finish)
         .where("horizon is null or finish <= horizon")
         .withColumn("_b", F.floor(F.col("finish") * BUCKETS / F.greatest("budget", F.lit(1))))

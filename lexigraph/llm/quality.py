@@ -1,9 +1,13 @@
 """Statistics of texts, and how far each text is from the running prose of its language.
 
 Every text is described by a dozen statistics. Per language their typical values
-in prose are learned robustly from all rows: medians and absolute deviations
-pick a core, and mean and covariance of the core are refined in concentration
-steps (the rows closest by Mahalanobis distance give the next estimate). The
+in prose are learned robustly from all rows: medians and median absolute
+deviations pick a core, and mean and covariance of the core are refined in
+concentration steps (the rows closest by Mahalanobis distance give the next
+estimate). Those of a language are drawn towards those of all rows as if there
+were SHRINK rows more of them, so a rare language borrows its model and a common
+one has its own, without a switch between the two. A text in a language without
+a list of common words counts as English and is found to be far from it. The
 squared distance of a text is a sum of one contribution per statistic, so a
 report tells why a text is an outlier. Sums per language and statistic pair are
 all that is gathered; no row leaves its partition.
@@ -63,6 +67,9 @@ STATISTICS = [
 #: Smallest standard deviation of each statistic that is believed.
 FLOORS = [0.05, 0.03, 0.03, 0.15, 0.05, 0.04, 0.08, 0.04, 0.25, 0.25, 0.03, 0.06, 0.06]
 
+#: Deviations within which every statistic of a row of the first core lies, and the rows that a language's model borrows.
+CORE, SHRINK = 6.0, 100.0
+
 
 def statistics(text: str) -> tuple[str, int, list[float]]:
     """Language, number of words and the statistics of a text (all finite, also for '')."""
@@ -164,16 +171,18 @@ def _moments(rows: DataFrame) -> dict[str, tuple[float, np.ndarray, np.ndarray]]
 
 
 def _models(
-    moments: dict[str, tuple[float, np.ndarray, np.ndarray]], least: int
+    moments: dict[str, tuple[float, np.ndarray, np.ndarray]], shrink: float
 ) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Centre and inverse covariance per language; small languages use that of all rows."""
+    """Centre and inverse covariance per language, drawn towards those of all rows."""
+    if "" not in moments:
+        return {}
+    _, every, spread = moments[""]
     models = {}
     for lang in [*LANGUAGES, ""]:
-        n, mean, cov = moments.get(lang) or (0, None, None)
-        if n < least:
-            if "" not in moments:
-                continue
-            _, mean, cov = moments[""]
+        n, mean, cov = moments.get(lang) or (0, every, spread)
+        own = n / (n + shrink)
+        mean = own * mean + (1 - own) * every
+        cov = own * cov + (1 - own) * spread
         models[lang] = (mean, np.linalg.inv(cov + np.diag(np.square(FLOORS))))
     return models
 
@@ -197,24 +206,31 @@ def distances(rows: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray]])
 
 
 def prose_models(
-    rows: DataFrame, steps: int = 2, keep: float = 30.0, least: int = 200
+    rows: DataFrame, steps: int = 2, keep: float = 30.0, shrink: float = SHRINK
 ) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Robust centre and inverse covariance of each language's prose."""
-    centres = rows.groupBy("lang").agg(
+    long = rows.where("words >= 20")
+    centres = long.groupBy("lang").agg(
         *[F.percentile_approx(s, 0.5, 2000).alias(f"m_{s}") for s in STATISTICS]
     )
     # one row per language
-    away = rows.join(F.broadcast(centres), "lang")
+    away = long.join(F.broadcast(centres), "lang")
+    spread = away.groupBy("lang").agg(
+        *[F.percentile_approx(F.abs(F.col(s) - F.col(f"m_{s}")), 0.5, 2000).alias(f"d_{s}") for s in STATISTICS]
+    )
+    away = away.join(F.broadcast(spread), "lang")
     scaled = F.lit(0)
     for s, floor in zip(STATISTICS, FLOORS, strict=True):
-        scaled = F.greatest(scaled, F.abs(F.col(s) - F.col(f"m_{s}")) / F.lit(4 * floor + 0.05))
-    core = away.where((scaled <= 1.5) & (F.col("words") >= 20)).select(*rows.columns)
-    models = _models(_moments(core), least)
+        # a median absolute deviation as a standard deviation
+        scale = F.greatest(1.4826 * F.col(f"d_{s}"), F.lit(floor))
+        scaled = F.greatest(scaled, F.abs(F.col(s) - F.col(f"m_{s}")) / scale)
+    core = away.where(scaled <= CORE).select(*rows.columns)
+    models = _models(_moments(core), shrink)
     for _ in range(steps):
         if not models:
             break
-        near = distances(rows.where("words >= 20"), models).where(F.col("distance") <= keep)
-        models = _models(_moments(near.select(*rows.columns)), least)
+        near = distances(long, models).where(F.col("distance") <= keep)
+        models = _models(_moments(near.select(*rows.columns)), shrink)
     return models
 
 
