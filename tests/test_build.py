@@ -1,6 +1,9 @@
 from conftest import SF_DIR
 
-from lexigraph.plans.build import add_vectors, build_index
+import pytest
+from pyspark.sql import functions as F
+
+from lexigraph.plans.build import add_vectors, build_index, search_index
 from lexigraph.plans.engine import Engine
 from lexigraph.sources.metadata import read_metadata, write_metadata
 from lexigraph.sources.tables import read_table
@@ -25,7 +28,26 @@ def test_metadata_round_trip(spark, tmp_path):
 
 
 def test_a_single_search_is_a_table_of_one_row(spark):
-    engine = Engine(spark, SF_DIR)
-    one = engine.paper_queries().orderBy("qid").limit(1)
+    engine = Engine(spark, search_index(spark, SF_DIR))
+    one = engine.paper_queries().where("vec is not null").orderBy("qid").limit(1)
     found = engine.search(one, "hybrid_graph", 5)
     assert [r["rank"] for r in found.orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+    with pytest.raises(ValueError, match="method"):
+        engine.search(one, "other")
+
+
+def test_queries_without_vector_seeds_and_exclusions(spark):
+    engine = Engine(spark, search_index(spark, SF_DIR))
+    one = engine.paper_queries().orderBy("qid").limit(1)
+    bare = one.withColumn("vec", F.lit(None).cast("array<double>"))
+    assert engine.search(bare, "dense").count() == 0
+    sparse = {r.key for r in engine.search(bare, "sparse").collect()}
+    plain = engine.search(bare, "hybrid_graph").collect()
+    assert sparse and {r.key for r in plain} == sparse
+    seed = engine.edges.select(F.col("src").alias("id")).orderBy("id").limit(1)
+    seeds = one.select("qid").join(seed)
+    found = engine.search(bare, "hybrid_graph", 200, seeds=seeds)
+    assert {r.key for r in found.collect()} > sparse
+    gone = found.where("arxiv_id is not null").orderBy("rank").limit(1).select("qid", "arxiv_id")
+    left = engine.search(bare, "hybrid", 200, excluded=gone).collect()
+    assert gone.first().arxiv_id not in {r.arxiv_id for r in left} and left

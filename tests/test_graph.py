@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from lexigraph.operators import graph, graph_retrieval
@@ -12,14 +14,17 @@ def tables(spark, edges, nodes):
 
 def test_pagerank_keeps_its_mass_with_dangling_nodes(spark):
     nodes, edges = tables(spark, [("a", "b"), ("b", "c"), ("a", "c")], "abcd")
-    ranks = {r.id: r.pagerank for r in graph.pagerank(nodes, edges, 20).collect()}
-    assert sum(ranks.values()) == pytest.approx(1)
+    ranks = {r.id: r.pagerank for r in graph.pagerank(nodes, edges, 1e-9).collect()}
+    pieces = {r.id: r.pagerank for r in graph.pagerank(nodes, edges, 1e-9, piece=1).collect()}
+    assert sum(ranks.values()) == pytest.approx(1) and pieces == pytest.approx(ranks)
+    with pytest.raises(RuntimeError, match="settled"):
+        graph.pagerank(nodes, edges, 1e-12, most=2)
     assert ranks["c"] > ranks["b"] > ranks["a"]
 
 
 def test_pagerank_of_nothing(spark):
     nodes, edges = tables(spark, [], [])
-    assert graph.pagerank(nodes, edges, 2).count() == 0
+    assert graph.pagerank(nodes, edges).count() == 0
 
 
 def test_components_of_a_long_path(spark):
@@ -58,3 +63,55 @@ def test_peers_never_hold_the_seed(spark):
     ranks = spark.createDataFrame([("a", 0.4), ("b", 0.3), ("c", 0.2), ("d", 0.1)], "id string, pagerank double")
     got = graph_retrieval.community_peers(seeds, member, ranks, 1).collect()
     assert [(r.id, r.score) for r in got] == [("c", 1.0)]
+
+
+def test_pair_distances_are_those_of_the_search(spark):
+    rng = random.Random(8)
+    links = [(f"n{rng.randrange(40):02d}", f"n{rng.randrange(40):02d}") for _ in range(38)] + [(f"n{i:02d}", "hub") for i in range(12)]
+    _, edges = tables(spark, [*links, ("lone1", "lone2")], "a")
+    seeds = spark.createDataFrame([("q", "n01"), ("q", "n30"), ("r", "hub"), ("s", "lone1"), ("t", "nowhere")], "qid string, id string")
+    every = {(r.qid, r.id): r.distance for r in graph.distances(seeds, edges).collect()}
+    ids = {x for pair in links for x in pair} | {"lone1", "lone2", "nowhere"}
+    pairs = spark.createDataFrame([(q, i) for q in "qrst" for i in ids], "qid string, id string")
+    got = {(r.qid, r.id): r.distance for r in graph.pair_distances(pairs, seeds, edges).collect()}
+    assert got == every and max(got.values()) >= 3
+
+
+def test_walks_prefer_papers_like_the_query(spark):
+    edges = [("a", "b"), ("b", "a"), ("a", "c"), ("c", "d"), ("d", "b"), ("e", "a")]
+    like = {("q", "b"): 0.9, ("q", "c"): -0.5, ("q", "d"): 0.2}
+    out: dict = {}
+    for s, d in edges:
+        out.setdefault(s, []).append(d)
+        out.setdefault(d, []).append(s)
+    mass, visits = {"a": 0.5, "e": 0.5}, {}
+    for step in range(5):
+        after: dict = {}
+        for node, m in mass.items():
+            w = [max(like[("q", n)], 0.01) if ("q", n) in like else 0.1 for n in out[node]]
+            for n, x in zip(out[node], w, strict=True):
+                after[n] = after.get(n, 0) + m * x / sum(w)
+        mass = after
+        for n, m in mass.items():
+            visits[n] = visits.get(n, 0) + m / (step + 1)
+    visits = {n: v for n, v in visits.items() if n not in "ae"}
+    expected = {n: v / max(visits.values()) for n, v in visits.items()}
+    _, e = tables(spark, edges, "a")
+    seeds = spark.createDataFrame([("q", "a"), ("q", "e"), ("u", "a")], "qid string, id string")
+    likeness = spark.createDataFrame([(*k, v) for k, v in like.items()], "qid string, id string, cosine double")
+    got = graph_retrieval.expected_walk(seeds, e, likeness).collect()
+    assert {r.id: r.score for r in got if r.qid == "q"} == pytest.approx(expected, abs=1e-8)
+    uniform = graph_retrieval.expected_walk(seeds, e).collect()
+    assert {(r.id, r.score) for r in got if r.qid == "u"} == {(r.id, r.score) for r in uniform if r.qid == "u"}
+
+
+def test_papers_are_looked_up_with_or_without_version(spark):
+    papers = spark.createDataFrame([("1", "One"), ("2v3", "Two"), ("2", None)], "id string, title string")
+    none = spark.createDataFrame([], "id string, in_degree bigint, pagerank double, community string")
+    asked = spark.createDataFrame([("1v2",), ("2v3",), ("2v9",), ("9",), (None,)], "asked string")
+    got = {(r.asked, r.id, r.citations) for r in graph_retrieval.looked_up(asked, papers, none, none, none.select("id", "community")).collect()}
+    assert got == {("1v2", "1", 0), ("2v3", "2v3", 0), ("2v9", "2", 0)}
+    _, edges = tables(spark, [("1", "2"), ("3", "1")], "1")
+    member = spark.createDataFrame([("1", "m"), ("2", "m"), ("3", "m")], "id string, community string")
+    view = graph_retrieval.citation_view(asked.selectExpr("'1' as id"), edges, member, none, papers, 1).collect()
+    assert {(r.side, r.neighbour, r.title) for r in view} == {("cites", "2", "Unknown"), ("cited_by", "3", "Unknown"), ("community", "2", "Unknown")}

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,18 +54,35 @@ def test_context_budget(spark):
     assert got == [(1, 5000), (2, 3003)]
 
 
+def index(docs):
+    posts = lexical.postings(docs, "id", F.col("text"))
+    size = lexical.corpus_size(docs, posts)
+    parts = lexical.impacts(posts, size, "id")
+    return parts, lexical.bounds(parts, size)
+
+
+def test_pruned_ranking_is_that_of_all_documents(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{int(rng.paretovariate(0.7)) % 60:02d}" for _ in range(4000)]
+    texts = [(i, " ".join(words[i * 12 : i * 12 + rng.randrange(0, 13)])) for i in range(300)]
+    docs = spark.createDataFrame([*texts, (900, None), (901, ""), (902, texts[7][1])], "id int, text string")
+    queries = spark.createDataFrame([(q, " ".join(rng.choices(words, k=1 + q % 5))) for q in range(30)], "qid int, query string")
+    pruned = lexical.ranked(queries, *index(docs), "id", 7).orderBy("qid", "rank").collect()
+    monkeypatch.setattr(lexical, "COMMON", 2.0)
+    whole = lexical.ranked(queries, *index(docs), "id", 7).orderBy("qid", "rank").collect()
+    assert [(r.qid, r.id, r["rank"]) for r in pruned] == [(r.qid, r.id, r["rank"]) for r in whole] and len(whole) > 100
+
+
 def test_bm25_of_an_empty_corpus_and_query(spark):
     docs = spark.createDataFrame([], "id int, text string")
     queries = spark.createDataFrame([(1, "word"), (2, ""), (3, None)], "qid int, query string")
-    text = F.col("text")
-    assert lexical.ranked(queries, lexical.postings(docs, "id", text), lexical.corpus_size(docs, text), "id", 5).count() == 0
+    assert lexical.ranked(queries, *index(docs), "id", 5).count() == 0
 
 
 def test_exclusion_comes_before_the_cut(spark):
     docs = spark.createDataFrame([(1, "xx yy"), (2, "xx"), (3, "zz"), (4, "ww"), (5, None)], "id int, text string")
     queries = spark.createDataFrame([(1, "xx")], "qid int, query string")
-    text = F.col("text")
-    args = lexical.postings(docs, "id", text), lexical.corpus_size(docs, text), "id", 1
+    args = *index(docs), "id", 1
     first = lexical.ranked(queries, *args).first()
     assert first.id == 2 and first.normalized == 1
     out = spark.createDataFrame([(1, 2)], "qid int, id int")

@@ -28,21 +28,60 @@ def test_title_falls_back(spark):
 def test_sections_start_at_headings(spark):
     body = "word " * 20
     text = f"preamble is dropped\n1 Introduction\n{body}\n2.1 Own Idea\n{body}\nConclusion\nshort"
-    df = spark.createDataFrame([("a", text), ("b", body), ("c", None), ("d", "")], "id string, text string")
-    got = sorted((r.id, r.name) for r in extraction.sections(df, "id", "text").collect())
-    assert got == [("a", "1 Introduction"), ("a", "2.1 Own Idea"), ("b", "Full Text")]
+    few = "preamble\n1 Introduction\nfew words\n2.1. No Heading\n1.2.3 Too deep\n3 42 things"
+    df = spark.createDataFrame([("a", text), ("b", body), ("c", None), ("d", ""), ("e", few), ("f", " tiny\n")], "id string, text string")
+    rows = sorted((r.id, r.name, r.text) for r in extraction.sections(df, "id", "text").collect())
+    assert [r[:2] for r in rows] == [
+        ("a", "1 Introduction"), ("a", "2.1 Own Idea"), ("b", "Full Text"), ("e", "Full Text"), ("f", "Full Text")
+    ]
+    assert rows[3][2] == few and rows[4][2] == "tiny"
+
+
+def test_abstracts_are_found_in_three_ways(spark):
+    body = "This is the abstract of a paper that goes on for more than fifty characters."
+    assert one(spark, f"T\nAbstract\n{body}\n\n1 Introduction\nx", extraction.abstract_of) == body
+    assert one(spark, f"T\nAbstract: {body} Keywords a", extraction.abstract_of) == ": " + body
+    assert one(spark, "T\nAn abstract\n\nshort one\ntwo\n\nrest", extraction.abstract_of) == "short one two"
+    assert one(spark, "nothing here", extraction.abstract_of) == ""
+    assert one(spark, None, extraction.abstract_of) is None
 
 
 def test_references_are_split_and_parsed(spark):
-    text = '[1] A. B. "A quoted title of some length". 2019. arXiv:1901.00001v2\n[2] C. doi:10.1234/ab.c.\n[3] D.'
+    text = 'dropped\n[1] A. B. "A quoted title of some length". 2019. arXiv:1901.00001v2\n[2] C. doi:10.1234/ab.c.\n[3] D.'
     got = one(spark, text, extraction.split_references)
-    assert len(got) == 3 and got[2] == "D."
-    df = spark.createDataFrame([(r,) for r in [*got, None]], "raw_text string")
+    assert len(got) == 3 and got[2] == "[3] D."
+    unquoted = "[4] Author A. A title that nobody has quoted. In Proceedings of X, 2020."
+    curly = "\u201cA curly quoted title of length\u201d 2021"
+    df = spark.createDataFrame([(r,) for r in [*got, None, unquoted, curly]], "raw_text string")
     rows = extraction.reference_fields(df).collect()
     assert rows[0].parsed_arxiv_id == "1901.00001" and rows[0].parsed_year == 2019
     assert rows[0].parsed_title == "A quoted title of some length"
     assert rows[1].parsed_doi == "10.1234/ab.c"
     assert rows[3].parsed_title is None
+    assert rows[4].parsed_title == "A title that nobody has quoted"
+    assert rows[5].parsed_title == "A curly quoted title of length"
+
+
+def test_reference_lists_without_numbers(spark):
+    authors = "Smith, A. One.\nJones, B. Two\n goes on.\nMiller, C. Three.\nBaker, D. Four."
+    assert one(spark, authors, extraction.split_references) == [
+        "Smith, A. One.", "Jones, B. Two\n goes on.", "Miller, C. Three.", "Baker, D. Four."
+    ]
+    assert one(spark, "first one\n\nsecond one\n \nthird", extraction.split_references) == ["first one", "second one", "third"]
+    assert one(spark, "a line of more than twenty\nshort", extraction.split_references) == ["a line of more than twenty"]
+    assert one(spark, "", extraction.split_references) == []
+
+
+def test_citations_are_united_from_ids_and_titles(spark):
+    docs = spark.createDataFrame(
+        [("a", 'x\n[1] arXiv:1901.00001v2 "The title of another paper"\n[2] "The title of another paper"\n[3] 1901.00001', 1), ("b", None, 1)],
+        "arxiv_id string, references_text string, title int",
+    )
+    papers = spark.createDataFrame([("1901.00002", "The Title of Another Paper!"), ("a", "Own"), (None, "x")], "arxiv_id string, title string")
+    parsed = extraction.parsed_references(docs)
+    edges = extraction.citation_edges(parsed, papers, tx.normalized_title)
+    assert {tuple(r) for r in edges.collect()} == {("a", "1901.00001"), ("a", "1901.00002")}
+    assert [tuple(r) for r in extraction.citation_summary(parsed, edges).collect()] == [("a", 3, 2, 2)]
 
 
 @pytest.mark.parametrize("n", [0, 1, 512, 513, 922, 923, 1000, 5999])
