@@ -337,16 +337,16 @@ def unknown_words(lines: DataFrame, frequent: DataFrame) -> DataFrame:
 
 
 def in_context(
-    found: DataFrame, options: DataFrame, frequent: DataFrame, tokens: DataFrame
+    found: DataFrame, options: DataFrame, frequent: DataFrame, tokens: DataFrame, known: int = KNOWN_WORDS
 ) -> DataFrame:
     """(document, line_no, word, right): the best dictionary word for each unknown word.
 
     found has (document, line_no, word, before, after), tokens is of
     clean_tokens. Where a word has several options, the option that more often
     stands next to the same neighbours in these wins, then the one with fewest changes,
-    then the more frequent one. Neighbours of frequent options, of which there are
-    at most KNOWN_WORDS, are sifted out by a broadcast before they are counted;
-    those of the rest by a shuffle.
+    then the more frequent one. Neighbours of options are sifted out by a
+    broadcast before they are counted; of more than `known` options only those
+    of the frequent ones, and those of the rest by a shuffle.
     """
     count = Window.partitionBy("word")
     options = options.withColumn("choices", F.count(F.lit(1)).over(count))
@@ -358,9 +358,10 @@ def in_context(
         .unionByName(open_.where("after is not null").select(F.col("right").alias("before"), "after"))
         .distinct()
     )
-    rights = frequent.select("word").join(
-        open_.select(F.col("right").alias("word")).distinct(), "word", "left_semi"
-    )
+    rights = cut(open_.select(F.col("right").alias("word")).distinct())
+    many = rights.count() > known
+    if many:
+        rights = frequent.select("word").join(rights, "word", "left_semi")
     pairs = tokens.select(F.transform("w", lambda t: F.lower(t)).alias("w")).select(
         F.explode(
             F.transform(
@@ -384,8 +385,8 @@ def in_context(
         )
 
     seen = counted(marked(pairs).where("_first or _second"), wanted)
-    rest = cut(marked(wanted).where("_first is null and _second is null").select("before", "after"))
-    if not rest.isEmpty():
+    if many:
+        rest = marked(wanted).where("_first is null and _second is null").select("before", "after")
         seen = seen.unionByName(counted(pairs, rest))
     left = seen.select("before", F.col("after").alias("right"), F.col("n").alias("n_before"))
     right = seen.select(F.col("before").alias("right"), "after", F.col("n").alias("n_after"))

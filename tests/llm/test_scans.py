@@ -104,4 +104,6 @@ def test_context_counts_for_options_that_are_not_frequent(spark):
     options = spark.createDataFrame([("stagc", "stage", 5), ("stagc", "stags", 100)], "word string, right string, support bigint")
     for frequent in (["stage", "stags"], ["stags"], []):
         known = spark.createDataFrame([(w,) for w in frequent], "word string")
-        assert [r.right for r in scans.in_context(found, options, known, scans.clean_tokens(extracted)).collect()] == ["stage"]
+        for bound in (0, 1, 20_000):
+            best = scans.in_context(found, options, known, scans.clean_tokens(extracted), bound).collect()
+            assert [r.right for r in best] == ["stage"]
