@@ -6,6 +6,8 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from lexigraph.session import scratch
+
 
 def main(args: list[str]) -> None:
     if len(args) == 3 and args[0] == "build":
@@ -15,7 +17,9 @@ def main(args: list[str]) -> None:
     elif len(args) == 4 and args[0] == "run":
         from lexigraph.plans.queries import QUERIES
 
-        QUERIES[args[1]](SparkSession.builder.getOrCreate(), args[2]).write.parquet(args[3])
+        spark = SparkSession.builder.getOrCreate()
+        with scratch(spark):
+            QUERIES[args[1]](spark, args[2]).write.parquet(args[3])
     else:
         sys.exit(__doc__)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,12 @@ def report(means: DataFrame) -> str:
     return "\n".join(lines + ["| " + " | ".join(str(x) for x in r) + " |" for r in rows])
 
 
+def report_json(means: DataFrame) -> str:
+    """The ablation as a JSON object by method; one row per method reaches the driver."""
+    rows = means.orderBy("method").collect()
+    return json.dumps({r["method"]: {c: r[c] for c in means.columns if c != "method"} for r in rows})
+
+
 def _keywords(text: Column, least: int) -> Column:
     return F.array_distinct(F.filter(words(F.lower(text)), lambda w: F.length(w) > least))
 

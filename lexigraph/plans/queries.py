@@ -23,7 +23,7 @@ from lexigraph.operators import (
     hot_keys,
     lexical,
 )
-from lexigraph.plans import corpus
+from lexigraph.plans import converse, corpus
 from lexigraph.plans.build import search_index
 from lexigraph.plans.engine import METHODS, Engine
 from lexigraph.session import cut, ensure_checkpoint_dir, settled
@@ -1425,6 +1425,34 @@ def acronym_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("conv_id").alias("qid"), "short", "full")
 
 
+@query("conversation_turn")
+def conversation_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rewriting, search, context and answer for the conversations on the stated papers (MD5 begins with 0)."""
+    engine = Engine(spark, search_index(spark, sf_dir))
+    messages = cut(_messages(spark, sf_dir).where(F.md5("conv_id").startswith("0")))
+    vectors = engine.table("paper_vectors").select(F.col("id").alias("conv_id"), "vec")
+    return converse.turn(engine, messages, _entities(spark, sf_dir), vectors)[0]
+
+
+@query(
+    "session_states",
+    f"""WITH {MESSAGES_SQL}, {ENTITIES_SQL}, {DISCUSSED_SQL}
+    SELECT c.conv_id AS conversation_id, c.n AS messages, coalesce(p.n, 0) AS papers, coalesce(short, '') AS short FROM (SELECT conv_id, count(*) AS n FROM tail GROUP BY 1) c
+    LEFT JOIN (SELECT conv_id, least(count(*), 50) AS n FROM discussed GROUP BY 1) p USING (conv_id) LEFT JOIN ent USING (conv_id)""",
+)
+def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States saved as JSON and read back: how many messages and papers they hold, and their first entity."""
+    messages = _messages(spark, sf_dir)
+    tail, discussed = dialogue.last_messages(messages), dialogue.papers_discussed(messages, 50)
+    back = sessions.parsed(sessions.saved(tail, discussed, _entities(spark, sf_dir), "2026-01-01"))
+    return back.select(
+        "conversation_id",
+        F.size("messages").cast("bigint").alias("messages"),
+        F.coalesce(F.size("papers"), F.lit(0)).cast("bigint").alias("papers"),
+        F.coalesce(F.get(F.map_keys("entities"), F.lit(0)), F.lit("")).alias("short"),
+    ).withColumn("papers", F.greatest("papers", F.lit(0).cast("bigint")))
+
+
 # -- session store: a session is what is known of a paper's discussion ----------------
 
 STORE_SQL = """store AS (SELECT arxiv_id AS conversation_id, title AS data, strftime(added_at, '%Y-%m-%d') AS created_at,

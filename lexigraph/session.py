@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,13 +54,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+_scratches: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end all tables that cut() has written within; results must be written by then."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for name in _scratches.pop():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared checkpoint folder and go on from the written rows.
 
     Survives the loss of executors, unlike a local checkpoint. The tables stay
-    until the folder is emptied after the application, as checkpoints do.
+    until the folder is emptied after the application, as checkpoints do, or
+    until the end of the scratch() in which they were written.
     """
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4()}"
     df.write.parquet(path)
+    if _scratches:
+        _scratches[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from lexigraph.operators import dialogue
 
 MESSAGES = "conv_id string, turn bigint, role string, content string, arxiv_ids array<string>, ord string"
@@ -55,7 +57,32 @@ def test_acronyms_get_their_meaning(spark):
 
 
 def test_a_query_gets_what_it_lacks(spark):
-    from pyspark.sql import functions as F
-
     row = spark.createDataFrame([("about rag", ["RAG", "DPR", "a", "b", "c"])], "q string, e array<string>")
     assert row.select(dialogue.with_entity_terms(F.col("q"), F.col("e")).alias("x")).first().x == "about rag DPR c"
+
+
+def test_sessions_are_created_saved_and_read_back(spark):
+    from lexigraph.sources import sessions
+
+    new = sessions.created(spark, 3, "t0").collect()
+    assert len({r.conversation_id for r in new}) == 3 and new[0].data == "{}"
+    m = spark.createDataFrame([("a", 1, "user", "What", None), ("a", 2, "assistant", "That", ["1"])], "conv_id string, turn bigint, role string, content string, arxiv_ids array<string>")
+    more = spark.createDataFrame([("a", 5, "user", "Why", None), ("b", 1, "user", "New", None), ("a", 4, "user", "How", None)], "conv_id string, at int, role string, content string, arxiv_ids array<string>")
+    every = sessions.appended(m, more)
+    assert [(r.turn, r.content) for r in every.where("conv_id = 'a'").orderBy("turn").collect()] == [(1, "What"), (2, "That"), (3, "How"), (4, "Why")]
+    e = spark.createDataFrame([("a", 0, "X", "Ex"), ("a", 1, "X", "Later")], "conv_id string, ord int, short string, full string")
+    store = sessions.saved(dialogue.last_messages(every), dialogue.papers_discussed(every, 5), e, "t1")
+    got = {r.conversation_id: r for r in sessions.parsed(store.unionByName(sessions.created(spark, 1, "t").withColumn("data", F.lit("no json")))).collect()}
+    assert got["a"].papers == ["1"] and got["a"].entities == {"X": "Later"} and len(got["a"].messages) == 4
+    assert got["b"].papers is None and len(got) == 3
+
+
+def test_latency_adds_up():
+    from lexigraph.plans.latency import Latency
+
+    tracker = Latency()
+    for name in ("search", "answer", "search"):
+        with tracker.stage(name):
+            pass
+    found = tracker.metrics()
+    assert set(found) == {"search", "answer", "total"} and found["total"] == found["search"] + found["answer"]
