@@ -73,6 +73,30 @@ def test_pruned_ranking_is_that_of_all_documents(spark, monkeypatch):
     assert [(r.qid, r.id, r["rank"]) for r in pruned] == [(r.qid, r.id, r["rank"]) for r in whole] and len(whole) > 100
 
 
+def test_bm25_of_many_blocks_is_that_of_every_pair(spark):
+    rng = random.Random(6)
+    words = [f"w{int(rng.paretovariate(0.7)) % 60:02d}" for _ in range(4000)]
+    texts = [(i, " ".join(words[i * 12 : i * 12 + rng.randrange(0, 13)])) for i in range(300)]
+    docs = spark.createDataFrame([*texts, (None, "w01 w02"), (901, ""), (902, texts[7][1])], "id int, text string")
+    queries = spark.createDataFrame([(q, " ".join(rng.choices(words, k=1 + q % 5))) for q in range(30)], "qid int, query string")
+    parts, limits = index(docs)
+    part = {(r.term, r.id): r.part for r in parts.collect()}
+    excluded = {(q, d) for q in range(30) for d in range(q, 300, 5)}
+    out = spark.createDataFrame(sorted(excluded), "qid int, id int")
+    for banned, table in ((set(), None), (excluded, out)):
+        expected = []
+        for q in queries.collect():
+            scores = {}
+            for term in q.query.split():
+                for (t, d), x in part.items():
+                    if t == term and (q.qid, d) not in banned:
+                        scores[d] = scores.get(d, 0) + x
+            order = sorted((-round(x, 9), -1 if d is None else d) for d, x in scores.items() if round(x, 9) > 0)[:7]
+            expected += [(q.qid, d, i + 1) for i, (_, d) in enumerate(order)]
+        found = lexical.ranked(queries, parts, limits, "id", 7, table, rows_a_block=200).orderBy("qid", "rank").collect()
+        assert [(r.qid, -1 if r.id is None else r.id, r["rank"]) for r in found] == expected and len(expected) > 100
+
+
 def test_bm25_of_an_empty_corpus_and_query(spark):
     docs = spark.createDataFrame([], "id int, text string")
     queries = spark.createDataFrame([(1, "word"), (2, ""), (3, None)], "qid int, query string")
