@@ -1,3 +1,5 @@
+import os
+
 from conftest import SF_DIR
 
 import pytest
@@ -51,3 +53,12 @@ def test_queries_without_vector_seeds_and_exclusions(spark):
     gone = found.where("arxiv_id is not null").orderBy("rank").limit(1).select("qid", "arxiv_id")
     left = engine.search(bare, "hybrid", 200, excluded=gone).collect()
     assert gone.first().arxiv_id not in {r.arxiv_id for r in left} and left
+
+
+def test_searches_without_the_graph_build_but_the_texts(spark, tmp_path):
+    os.symlink(SF_DIR, tmp_path / "tables")
+    path = search_index(spark, str(tmp_path / "tables"), with_graph=False)
+    assert not os.path.exists(f"{path.removeprefix('file:')}/nodes")
+    engine = Engine(spark, path)
+    found = engine.search(engine.paper_queries(), "hybrid", 3)
+    assert found.groupBy("qid").count().count() == engine.paper_queries().count() > 0
