@@ -115,3 +115,21 @@ def test_papers_are_looked_up_with_or_without_version(spark):
     member = spark.createDataFrame([("1", "m"), ("2", "m"), ("3", "m")], "id string, community string")
     view = graph_retrieval.citation_view(asked.selectExpr("'1' as id"), edges, member, none, papers, 1).collect()
     assert {(r.side, r.neighbour, r.title) for r in view} == {("cites", "2", "Unknown"), ("cited_by", "3", "Unknown"), ("community", "2", "Unknown")}
+
+
+def test_a_long_path_is_walked_without_a_table_a_step(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(90)], "src string, dst string")
+    seeds = spark.createDataFrame([("q", "n000"), ("r", "n090"), ("r", "alone")], "qid string, id string")
+    written = []
+    for module in (graph, graph_retrieval):
+        monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: written.append(1) or cut(df))
+    got = {(r.qid, r.id): r.distance for r in graph.distances(seeds, edges).collect()}
+    assert len(got) == 183 and got["q", "n090"] == 90 and got["r", "n000"] == 90 and got["r", "alone"] == 0
+    assert len(written) <= 4
+    pairs = spark.createDataFrame([("q", "n070"), ("r", "alone"), ("q", "none")], "qid string, id string")
+    near = {(r.qid, r.id): r.distance for r in graph.pair_distances(pairs, seeds, edges).collect()}
+    assert near == {("q", "n070"): 70, ("r", "alone"): 0}
+    written.clear()
+    walked = {(r.qid, r.id) for r in graph_retrieval.expected_walk(seeds, edges).collect()}
+    assert walked == {("q", f"n{i:03d}") for i in range(1, 6)} | {("r", f"n{90 - i:03d}") for i in range(1, 6)}
+    assert len(written) <= 4
