@@ -3,13 +3,13 @@
 References are reduced to distinct profiles (title text, authors, year).
 A title text that is the whole title of papers is compared with these. Any other
 shares a rare key with its candidates: three neighbouring content words or one
-word. It uses the few rarest of its keys that papers have; a text for which that
-finds no paper with words enough in common is compared by all its keys in a
-second round. A key of many papers is not used alone but together with an
-author's surname or the year, in the second round with both; what that still
-leaves to more than a block of papers tells none of them from the others (each
-would have a confidence below one in `block`) and is not used, so every key
-joins a bounded number of papers and candidates grow with the references.
+word. It uses the few rarest of its keys that papers have. A key of many papers
+is not used alone but together with an author's surname or the year, so every key
+joins a bounded number of papers. A text for which that finds no paper with words
+enough in common, or one of whose keys is too large even so, is compared with all
+papers in a second round: blocks of texts and papers meet, shared words are
+counted in arrays, and every paper with most words in common, or with some words
+and an author or the text's rarest word, is a candidate, however many there are.
 
 On every candidate pair heuristics vote in grades for, against or not at all. A
 generative model (label_model) learns from the counts of vote patterns how
@@ -21,6 +21,7 @@ odds of its candidates compete: confidence = odds / (1 + sum of odds).
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ GLUE = (
     "a an and as at by de des do does for from how in into is it its much of on or over the to"
     " under via with"
 ).split()
+# Shares of the words of a title from which it is compared at all, and without an author or the rarest word in common.
+SOME, MOST = 0.4, 0.6
 VOTERS = [
     "v_title",
     "v_paper_words",
@@ -183,11 +186,15 @@ def _refined(df: DataFrame, names: Column, years: int, *kept: str) -> DataFrame:
 
 
 def _small(keys: DataFrame, most: int) -> DataFrame:
-    """(key, arxiv_id) of the keys of at most so many papers; of larger ones little more than that is shuffled."""
+    """(key, arxiv_id) of the keys of at most so many papers; a larger one is a single row without arxiv_id.
+
+    Of larger keys little more than that is shuffled.
+    """
     rank = F.row_number().over(Window.partitionBy("key").orderBy("arxiv_id"))
     first = keys.select("key", "arxiv_id").withColumn("_r", rank).where(F.col("_r") <= most + 1)
-    count = F.max("_r").over(Window.partitionBy("key"))
-    return first.withColumn("_n", count).where(F.col("_n") <= most).select("key", "arxiv_id")
+    large = F.max("_r").over(Window.partitionBy("key")) > most
+    marked = first.withColumn("_large", large).where(~F.col("_large") | (F.col("_r") == 1))
+    return marked.select("key", F.when(~F.col("_large"), F.col("arxiv_id")).alias("arxiv_id"))
 
 
 def _sharing(
@@ -197,7 +204,8 @@ def _sharing(
 
     chosen has (profile, key, papers, n). A key of up to `block` papers is n
     agreements as it stands, a larger key with each name and with the year,
-    where that leaves at most two blocks.
+    where that leaves at most two blocks. A row without arxiv_id tells of a
+    profile that it leaves more to.
     """
     used = chosen.select("key", "papers").distinct()
     blocks = cut(paper_keys.join(used, "key"))
@@ -228,7 +236,7 @@ def _sharing(
         .repartition("arxiv_id")
         .groupBy("profile", "arxiv_id")
         .agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= agree)
+        .where((F.col("n") >= agree) | F.col("arxiv_id").isNull())
         .select("profile", "arxiv_id")
     )
 
@@ -241,7 +249,8 @@ def candidates(
     A text that is some papers' whole title is compared with those papers; any
     other text with the papers that share `agree` of its rarest keys, or one
     that no other paper has. Of a title of more than `block` papers those are
-    compared that agree in a name or, within a year, in the year.
+    compared that agree in a name or, within a year, in the year. A row without
+    arxiv_id tells of a profile with a key that is too large even so.
     """
     texts = profiles.select("profile", "text")
     titles = papers.select("arxiv_id", F.xxhash64(_letters("title")).alias("whole_title"))
@@ -274,52 +283,128 @@ def candidates(
     )
 
 
-def further_candidates(left: DataFrame, papers: DataFrame, block: int = 16) -> DataFrame:
-    """(profile, arxiv_id): candidates by all keys, for profiles that have none with words enough in common.
+def _word_hashes(text: str) -> Column:
+    return F.array_distinct(F.transform(content(F.col(text)), lambda w: F.hash(w)))
+
+
+class _Index:
+    """In which rows each of some values stands."""
+
+    def __init__(self, values: np.ndarray, rows: np.ndarray):
+        order = np.argsort(values, kind="stable")
+        self.values, self.start = np.unique(values[order], return_index=True)
+        self.stop = np.append(self.start[1:], len(values))
+        self.rows = rows[order]
+
+    def places(self, asked: np.ndarray) -> np.ndarray:
+        """The place of each asked value, -1 where there is none."""
+        at = np.searchsorted(self.values, asked)
+        there = at < len(self.values)
+        there[there] = self.values[at[there]] == asked[there]
+        return np.where(there, at, -1)
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        """The rows of all these places one after the other; a place of -1 has none."""
+        return np.concatenate([self.rows[:0], *(self.rows[self.start[i] : self.stop[i]] for i in places if i >= 0)])
+
 
-    What misses its paper by its rarest keys, which may be incidental words,
-    meets it by any key of up to `block` papers; by a larger triple with a name
-    or, within a year, the year; or by two larger words with a name and the
-    year, where at most `block` papers agree in these.
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the list of each row begins (and the last one ends), and the values of all lists."""
+    flat = column.combine_chunks()
+    ends = np.append(0, np.cumsum(flat.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    return ends.astype(np.int64), flat.flatten().to_numpy(zero_copy_only=False)
+
+
+def _near(asked: pa.Table, held: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of asked and of held that are compared: no pair of them is left out.
+
+    Both have words, names (hashes) and letters (a hash), asked also whole
+    and rare (hashes of words). The words that a text shares with each paper are counted in an array over the papers.
     """
-    paper_keys = record_keys(papers, "arxiv_id", "title", 1)
-    sizes = paper_keys.groupBy("key", "word").agg(F.count(F.lit(1)).cast("int").alias("papers"))
-    texts = left.select("profile", "text")
-    chosen = cut(record_keys(texts, "profile", "text", 1).join(sizes, ["key", "word"]))
-    blocks = cut(paper_keys.join(chosen.select("key", "word", "papers").distinct(), ["key", "word"]))
-    is_small = F.col("papers") <= block
-    small = (
-        chosen.where(is_small)
-        .join(blocks.where(is_small).select("key", "arxiv_id"), "key")
-        .select("profile", "arxiv_id", F.lit(2).alias("n"))
-    )
-    def combined(keys: DataFrame, records: DataFrame, record_id: str, names: Column, years: int) -> DataFrame:
-        """Triples with each name and each year, words with each name and year."""
-        about = F.when(
-            F.col("year").isNotNull(), F.sequence(F.col("year") - years, F.col("year") + years)
-        ).otherwise(F.array().cast("array<int>"))
-        described = records.select(record_id, names.alias("names"), about.alias("years"))
-        large = keys.where(~is_small).select("key", "word", record_id).join(described, record_id)
-        of_triple = F.concat(
-            F.transform("names", lambda n: F.xxhash64("key", n)),
-            F.transform("years", lambda y: F.xxhash64("key", F.lit("year"), y)),
-        )
-        of_word = F.flatten(
-            F.transform("names", lambda n: F.transform("years", lambda y: F.xxhash64("key", n, y)))
-        )
-        parts = F.explode(F.when(F.col("word"), of_word).otherwise(of_triple))
-        return large.select(record_id, F.when(F.col("word"), 1).otherwise(2).alias("n"), parts.alias("key"))
 
-    asked = combined(chosen, left, "profile", F.array_distinct(F.flatten("names")), 0)
-    held = combined(blocks, papers, "arxiv_id", _surnames(F.col("names")), 1)
-    by_parts = asked.join(_small(held, block), "key").select("profile", "arxiv_id", "n")
-    return (
-        small.unionByName(by_parts)
-        .groupBy("profile", "arxiv_id")
-        .agg(F.sum("n").alias("n"))
-        .where("n >= 2")
-        .select("profile", "arxiv_id")
+    def least(share: float, n: np.ndarray | int) -> np.ndarray:
+        return np.maximum(np.ceil(share * n - 1e-9), 1).astype(np.int64)
+
+    m = len(held)
+    begin, values = _lists(held["words"])
+    most, some = least(MOST, np.diff(begin)), least(SOME, np.diff(begin))
+    words_held = _Index(values, np.repeat(np.arange(m), np.diff(begin)))
+    begin, values = _lists(held["names"])
+    names_held = _Index(values, np.repeat(np.arange(m), np.diff(begin)))
+    same = _Index(held["letters"].to_numpy(), np.arange(m))
+    w_begin, values = _lists(asked["words"])
+    w_places = words_held.places(values)
+    n_begin, values = _lists(asked["names"])
+    n_places = names_held.places(values)
+    r_begin, values = _lists(asked["rare"])
+    r_places = words_held.places(values)
+    s_places, whole = same.places(asked["letters"].to_numpy()), asked["whole"].to_numpy(zero_copy_only=False)
+    bounds = {-1: most}  # by how many words of a text are enough
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in range(len(asked)):
+        common = np.bincount(words_held.of(w_places[w_begin[i] : w_begin[i + 1]]), minlength=m)
+        # a raw text holds more than a title, so that only the paper's words count
+        enough = -1 if whole[i] else int(least(MOST, w_begin[i + 1] - w_begin[i]))
+        if enough not in bounds:
+            bounds[enough] = np.minimum(most, enough)
+        by_name = names_held.of(n_places[n_begin[i] : n_begin[i + 1]])
+        by_word = words_held.of(r_places[r_begin[i] : r_begin[i + 1]])
+        others = np.append(by_name, by_word)
+        kept = [
+            np.flatnonzero(common >= bounds[enough]),
+            others[common[others] >= some[others]],
+            same.of(s_places[i : i + 1]),
+        ]
+        right.append(np.unique(np.concatenate(kept)))
+        left.append(np.full(len(right[-1]), i))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def further_candidates(
+    left: DataFrame, papers: DataFrame, profiles_a_block: int = 100_000, papers_a_block: int = 250_000
+) -> DataFrame:
+    """(profile, arxiv_id): every paper that shares words enough with a profile, whatever their keys.
+
+    Words enough are MOST of the paper's or the text's words, or SOME of the
+    paper's where an author is shared as well or that of the text's words which
+    fewest papers have; the same letters always are.
+    Blocks of profiles and of papers meet, each pair of blocks in a task.
+    """
+    uses = papers.select(F.explode(_word_hashes("title")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    used = left.select("profile", F.explode(_word_hashes("text")).alias("word")).join(uses, "word")
+    listed = used.groupBy("profile").agg(F.min("n").alias("least"), F.collect_list(F.struct("n", "word")).alias("list"))
+    rarest = F.transform(F.filter("list", lambda x: x["n"] == F.col("least")), lambda x: x["word"])
+    described = left.join(listed.select("profile", rarest.alias("rare")), "profile", "left").select(
+        "profile",
+        "whole",
+        "rare",
+        _word_hashes("text").alias("words"),
+        F.array_distinct(F.transform(F.flatten("names"), lambda n: F.hash(n))).alias("names"),
+        F.xxhash64(_letters("text")).alias("letters"),
+    )
+    held = papers.select(
+        "arxiv_id",
+        _word_hashes("title").alias("words"),
+        F.transform(_surnames(F.col("names")), lambda n: F.hash(n)).alias("names"),
+        F.xxhash64(_letters("title")).alias("letters"),
     )
+    profiles, cores = left.count(), left.sparkSession.sparkContext.defaultParallelism
+    q_blocks = max(1, -(-profiles // profiles_a_block), min(2 * cores, profiles // 200))
+    d_blocks = max(1, -(-papers.count() // papers_a_block))
+
+    def dealt(df: DataFrame, by: str, mine: str, n: int, other: str, others: int) -> DataFrame:
+        own = F.pmod(F.xxhash64(by), F.lit(n)).cast("int").alias(mine)
+        placed = df.select("*", own).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        return placed.repartition(q_blocks * d_blocks, "qb", "db")
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows, found = _near(a, b) if len(a) and len(b) else (np.empty(0, np.int64), np.empty(0, np.int64))
+        return pa.table({"profile": a["profile"].take(pa.array(rows)), "arxiv_id": b["arxiv_id"].take(pa.array(found))})
+
+    q = dealt(described, "profile", "qb", q_blocks, "db", d_blocks)
+    d = dealt(held, "arxiv_id", "db", d_blocks, "qb", q_blocks)
+    types = [df.schema[c].dataType.simpleString() for df, c in ((left, "profile"), (papers, "arxiv_id"))]
+    return q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInArrow(search, f"profile {types[0]}, arxiv_id {types[1]}")
 
 
 def _grade(*cases: tuple[Column, int]) -> Column:
@@ -340,10 +425,6 @@ def _unflat(flat: Column) -> Column:
 
 def compared(pairs: DataFrame, profiles: DataFrame, papers: DataFrame) -> DataFrame:
     """(profile, arxiv_id, copies, votes): pairs that share title words enough, with a graded vote of each heuristic."""
-
-    def hashes(text: str) -> Column:
-        return F.array_distinct(F.transform(content(F.col(text)), lambda w: F.hash(w)))
-
     # plain strings travel better than arrays; what is made of them is made where pairs meet
     described = papers.select(
         "arxiv_id", "copies", "title", _flat(F.col("names")).alias("p_flat"), F.col("year").alias("p_year")
@@ -352,7 +433,7 @@ def compared(pairs: DataFrame, profiles: DataFrame, papers: DataFrame) -> DataFr
     joined = (
         pairs.join(described, "arxiv_id")
         .join(asked, "profile")
-        .withColumns({"p": _letters("title"), "p_words": hashes("title"), "r": _letters("text"), "r_words": hashes("text")})
+        .withColumns({"p": _letters("title"), "p_words": _word_hashes("title"), "r": _letters("text"), "r_words": _word_hashes("text")})
         .withColumns({"names": _unflat(F.col("flat")), "p_names": _unflat(F.col("p_flat"))})
     )
     common = F.size(F.array_intersect("r_words", "p_words"))
@@ -437,9 +518,13 @@ def linked(refs: DataFrame, papers: DataFrame, reading_list: DataFrame) -> DataF
     members, distinct = reference_profiles(refs)
     described = cut(distinct.withColumnRenamed("profile", "hash").withColumn("profile", F.monotonically_increasing_id()))
     profiles = described.drop("hash")
-    first = cut(compared(candidates(profiles, records), profiles, records))
+    pairs = cut(candidates(profiles, records))
+    unsure = pairs.where("arxiv_id is null").select("profile").distinct()
+    pairs = pairs.where("arxiv_id is not null")
+    first = cut(compared(pairs.join(unsure, "profile", "left_anti"), profiles, records))
     left = cut(profiles.join(first.select("profile").distinct(), "profile", "left_anti"))
-    second = compared(further_candidates(left, records), left, records)
+    found = pairs.join(unsure, "profile", "left_semi").unionByName(further_candidates(left, records)).distinct()
+    second = compared(found, left, records)
     voted = cut(first.unionByName(second))
     # grades are few, so patterns are at most 1.5 million, however many candidates
     patterns = voted.groupBy(*VOTERS).count().toPandas()

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -135,6 +137,53 @@ def test_one_agreement_singles_out_a_paper_of_a_common_title(spark):
         assert {r.ref_id: r.arxiv_id for r in out} == {ref[0]: paper}
 
 
+def test_a_title_of_large_blocks_of_each_author_has_all_its_papers(spark):
+    p, reading, papers = world(spark)
+    title = "Report of the Yearly Findings"
+    same = [(f"{26 + k}{i % 12 + 1:02d}.{i:05d}", title, [f"Nam{chr(97 + i % 26)}{chr(97 + i // 26)}x {name}"], f"{1980 + i % 30}-01-01", "1", 1) for k, name in enumerate(("Zubrin", "Kexholm")) for i in range(40)]
+    both = ("2801.00001", title, ["Oli Zubrin", "Pia Kexholm"], "1990-01-01", "1", 1)
+    p = p.unionByName(spark.createDataFrame([*same, both], PAPERS))
+    refs = [(1, "r", None, None, title, ["Zubrin", "Kexholm"], None, "k")]
+    refs += [(10 + i, "r", None, None, x[1], [a.split()[1] for a in x[2]], int(x[3][:4]), "k") for i, x in enumerate(papers)]
+    r = spark.createDataFrame(refs, REFS)
+    got = {x.ref_id: x.arxiv_id for x in linkage.linked(r, p, reading).collect()}
+    assert got.pop(1, None) in {x[0] for x in (*same, both)}
+    assert got == {10 + i: x[0] for i, x in enumerate(papers)}
+    records = linkage.paper_records(p, reading).cache()
+    profiles = linkage.reference_profiles(r.where("ref_id = 1"))[1]
+    assert [x.arxiv_id for x in linkage.candidates(profiles, records).collect()] == [None]
+    every = linkage.compared(linkage.further_candidates(profiles, records), profiles, records).collect()
+    assert {x.arxiv_id for x in every} == {x[0] for x in (*same, both)}
+    assert [x.arxiv_id for x in every if x.v_authors == 2] == ["2801.00001"]
+
+
+def test_every_pair_with_words_enough_in_common_is_compared(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"word{i}" for i in range(25)]
+
+    def text(most):
+        return " ".join(rng.choice(vocabulary, size=rng.integers(1, most), replace=False))
+
+    names = ["arber", "bellim", "crouth", "drazel"]
+    papers = [(i, text(8), [["x", str(n)] for n in rng.choice(names, size=i % 3)], None, 1) for i in range(150)]
+    asked = [(i, text(12), i % 4 == 0, [[str(n)] for n in rng.choice(names, size=i % 2)], False, None) for i in range(60)]
+    uses = Counter(w for x in papers for w in x[1].split())
+    expected = set()
+    for q, t, whole, by, *_ in asked:
+        for d, title, held, *_ in papers:
+            a, b = set(t.split()), set(title.split())
+            of_paper, of_ref = len(a & b) / len(b), len(a & b) / len(a)
+            author = {n for x in by for n in x} & {x[-1] for x in held}
+            rare = {w for w in a if uses[w] == min(uses[w] for w in a)} & b
+            if of_paper >= 0.6 or (of_ref >= 0.6 and not whole) or (of_paper >= 0.4 and (author or rare)) or t.replace(" ", "") == title.replace(" ", ""):
+                expected.add((q, d))
+    left = spark.createDataFrame(asked, "profile int, text string, whole boolean, names array<array<string>>, et_al boolean, year int")
+    held = spark.createDataFrame(papers, "arxiv_id int, title string, names array<array<string>>, year int, copies int")
+    for sizes in ((100_000, 250_000), (7, 40)):
+        found = linkage.further_candidates(left, held, *sizes).collect()
+        assert {(r.profile, r.arxiv_id) for r in found} == expected and len(found) == len(expected) > 300
+
+
 def test_confidence_is_calibrated_on_masked_references(spark):
     from conftest import SF_DIR
     from pyspark.sql import functions as F
