@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lexigraph.operators import graph, graph_retrieval
+from lexigraph.operators import dense, graph, graph_retrieval
 
 
 def tables(spark, edges, nodes):
@@ -105,6 +105,26 @@ def test_walks_prefer_papers_like_the_query(spark):
     assert {(r.id, r.score) for r in got if r.qid == "u"} == {(r.id, r.score) for r in uniform if r.qid == "u"}
 
 
+def test_walks_work_out_cosines_in_their_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(f"n{rng.randrange(30):02d}", f"n{rng.randrange(30):02d}") for _ in range(70)]
+    _, e = tables(spark, [x for x in edges if x[0] != x[1]], "a")
+    rows = [(f"n{i:02d}", [rng.gauss(0, 1) for _ in range(4)]) for i in range(0, 33) if i % 7]  # three have no links
+    papers = dense.unit_vectors(spark.createDataFrame(rows, "id string, embedding array<double>"), "id", dim=4)
+    asked = [(f"q{i:02d}", [rng.gauss(0, 1) for _ in range(4)] if i % 5 else None) for i in range(40)]
+    queries = dense.unit_vectors(spark.createDataFrame(asked, "qid string, embedding array<double>"), "qid", dim=4)
+    queries = queries.unionByName(spark.createDataFrame([(q, v) for q, v in asked if v is None], "qid string, vec array<double>"))
+    seeds = spark.createDataFrame([(q, f"n{rng.randrange(30):02d}") for q, _ in asked[:-1] for _ in range(2)], "qid string, id string")
+    likeness = dense.similarities(queries.where("vec is not null"), papers, "id")
+    expected = {(r.qid, r.id): (r.rank, r.score) for r in graph_retrieval.expected_walk(seeds, e, likeness, 9).collect()}
+    written = []
+    monkeypatch.setattr(graph_retrieval, "cut", lambda df, cut=graph_retrieval.cut: written.append(cut(df)) or written[-1])
+    got = graph_retrieval.expected_walk(seeds, e, k=9, vectors=(queries, papers)).collect()
+    assert {(r.qid, r.id): (r.rank, pytest.approx(r.score, abs=1e-8)) for r in got} == expected and len({q for q, _ in expected}) == 39
+    # a row a seed and a query with a vector, none a query and a paper
+    assert max(df.count() for df in written if "qid" in df.columns) <= 2 * len(asked) + 40
+
+
 def test_papers_are_looked_up_with_or_without_version(spark):
     papers = spark.createDataFrame([("1", "One"), ("2v3", "Two"), ("2", None)], "id string, title string")
     none = spark.createDataFrame([], "id string, in_degree bigint, pagerank double, community string")
