@@ -1,10 +1,12 @@
 import os
+import threading
 
 from conftest import SF_DIR
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexigraph import session
 from lexigraph.plans.build import add_vectors, build_index, search_index
 from lexigraph.plans.engine import Engine
 from lexigraph.sources.metadata import read_metadata, write_metadata
@@ -62,3 +64,10 @@ def test_searches_without_the_graph_build_but_the_texts(spark, tmp_path):
     engine = Engine(spark, path)
     found = engine.search(engine.paper_queries(), "hybrid", 3)
     assert found.groupBy("qid").count().count() == engine.paper_queries().count() > 0
+
+
+def test_independent_jobs_run_at_once():
+    both = threading.Barrier(2, timeout=20)
+    assert session.together(lambda: both.wait() >= 0, lambda: both.wait() >= 0) == [True, True]
+    with pytest.raises(ZeroDivisionError):
+        session.together(lambda: 1 / 0, lambda: 2)
