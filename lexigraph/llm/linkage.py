@@ -55,12 +55,8 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, " "), lambda w: w != "")
-
-
 def content(text: Column) -> Column:
-    return F.filter(words(text), lambda w: ~w.isin(GLUE))
+    return F.filter(F.split(text, " "), lambda w: ~w.isin("", *GLUE))
 
 
 def name_parts(authors: Column) -> Column:
@@ -118,7 +114,8 @@ def reference_profiles(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.regexp_replace("raw_text", r"^\s*\[\d+\]\s*", ""),
     )
     whole = F.coalesce(F.trim("title"), F.lit("")) == ""
-    known = (
+    # written, as the profiles are made of it first and the members read at the end
+    known = cut(
         refs.where("ref_id is not null and arxiv_id is null and doi is null")
         .select(
             "ref_id",
@@ -162,7 +159,7 @@ def record_keys(df: DataFrame, record_id: str, text: str, letters: int = 5) -> D
 
 
 def _letters(text: str) -> Column:
-    return F.regexp_replace(F.col(text), " ", "")
+    return F.replace(F.col(text), F.lit(" "), F.lit(""))
 
 
 def _surnames(names: Column) -> Column:
@@ -447,7 +444,7 @@ def compared(pairs: DataFrame, profiles: DataFrame, papers: DataFrame) -> DataFr
         .withColumn("of_ref", common / F.greatest(F.size("r_words"), F.lit(1)))
         .withColumn("same", same)
         .withColumn("part", part)
-        .where("same or part or of_paper >= 0.4 or (of_ref >= 0.6 and not whole)")
+        .withColumn("enough", F.expr("same or part or of_paper >= 0.4 or (of_ref >= 0.6 and not whole)"))
     )
     longest = F.greatest(F.length("r"), F.length("p"))
     # worked out as far as it matters: -1 beyond three edits in ten
@@ -473,10 +470,11 @@ def compared(pairs: DataFrame, profiles: DataFrame, papers: DataFrame) -> DataFr
         .withColumn("strange", ~((F.size("names") > 0) & (F.size("p_names") > 0)))
     )
     strange, agreed, apart = F.col("strange"), F.col("agreed"), F.col("apart")
-    return every.select(
+    votes = every.select(
         "profile",
         "arxiv_id",
         "copies",
+        "enough",
         _grade((F.col("same"), 2), (F.col("part"), 1), (of_paper < 0.6, -1)).alias("v_title"),
         _grade((of_paper >= 1, 2), (of_paper >= 0.85, 1), (of_paper >= 0.6, 0), (of_paper >= 0.4, -1), (of_paper >= 0, -2)).alias("v_paper_words"),
         _grade((whole, 0), (of_ref >= 1, 2), (of_ref >= 0.85, 1), (of_ref >= 0.6, 0), (of_ref >= 0.4, -1), (of_ref >= 0, -2)).alias("v_ref_words"),
@@ -502,6 +500,9 @@ def compared(pairs: DataFrame, profiles: DataFrame, papers: DataFrame) -> DataFr
         ).alias("v_author_count"),
         _grade((apart == 0, 1), (apart > 3, -2), (apart > 1, -1)).alias("v_year"),
     )
+    # after the window, where the filter can't become a condition of the join that works out all words again;
+    # pairs that hold the title, which the window compares, are always enough
+    return votes.where("enough").drop("enough")
 
 
 def linked(refs: DataFrame, papers: DataFrame, reading_list: DataFrame) -> DataFrame:

@@ -204,3 +204,18 @@ def test_confidence_is_calibrated_on_masked_references(spark):
     }
     assert table[9][1] >= 0.97 and table[9][0] >= 0.95 * truth.count()
     assert table.get(0, (0, 0.0))[1] <= 0.1
+
+
+def test_pairs_work_out_their_words_once(spark):
+    p, reading, papers = world(spark)
+    refs = spark.createDataFrame([(1, "raw", None, None, papers[0][1], ["Arber"], 2015, "k"), (2, "raw", None, None, papers[1][1], [], 2001, "k")], REFS)
+    _, profiles = linkage.reference_profiles(refs)
+    records = linkage.paper_records(p, reading)
+    pairs = profiles.select("profile").crossJoin(records.select("arxiv_id"))
+    found = linkage.compared(pairs, profiles, records)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # the words in common are no condition of a join, which would work them out anew for each of its parts
+    assert not [line for line in plan.splitlines() if "Join" in line and "array_intersect" in line]
+    whole = {r.arxiv_id for r in found.where("v_title = 2").collect()}
+    assert whole == {papers[0][0], papers[1][0]}
+    assert found.count() < pairs.count()
