@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from lexigraph.operators import dialogue
@@ -56,6 +58,18 @@ def test_acronyms_get_their_meaning(spark):
     assert any(s == "XYZ" and f.endswith("Cross Yard Zone") for s, f in got)
 
 
+def test_meanings_are_sought_in_long_texts(spark):
+    long = "word " * 80_000
+    q = spark.createDataFrame([("a", "What is ABC?"), ("b", "What is XYZ?")], "conv_id string, query string")
+    r = spark.createDataFrame(
+        [("a", 1, long + "ABC ( is never said"), ("b", 1, "(first) " + long + "(Some) Extra Yard [XYZ] or (else"), ("b", 2, long + "XYZ [")],
+        "conv_id string, rank int, text string",
+    )
+    start = time.time()
+    got = {(x.conv_id, x.short, x.full) for x in dialogue.extracted_entities(q, r).collect()}
+    assert got == {("b", "XYZ", "Some) Extra Yard")} and time.time() - start < 20
+
+
 def test_a_query_gets_what_it_lacks(spark):
     row = spark.createDataFrame([("about rag", ["RAG", "DPR", "a", "b", "c"])], "q string, e array<string>")
     assert row.select(dialogue.with_entity_terms(F.col("q"), F.col("e")).alias("x")).first().x == "about rag DPR c"
